@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmark.llm import bpe, shuffle_shards, url_filter
+from kinmark.llm import bpe, quality, shuffle_shards, spotsigs, url_filter
 from kinmark.llm._common import arrow_limits, table, text_or_empty
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -32,7 +32,20 @@ def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), law, "shard", "slot", grown)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_bpe, op6_shuffle_shards)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model).select("doc_id", (quality.remainder("doc_id") == 2).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return spotsigs.edited_neighbours(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_bpe, op6_shuffle_shards, op9_quality, op10_spotsigs)}
 
 ORACLE_SQL = {
     "op2_url_filter": """
