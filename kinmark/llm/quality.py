@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,9 +202,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: st
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS vectors
 
     @F.pandas_udf("double")
-    def probability(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: UP037
-        import pandas as pd
-
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = held.value.scorer()
         for texts in batches:
             yield pd.Series([one(t or "") for t in texts], dtype="float64")
