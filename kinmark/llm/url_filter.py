@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kinmark.llm._common import schema_of
 
 _SPLIT = re.compile(r"([^/?#]*)([^?#]*)", re.S)
+_SENT: set[tuple[str, str]] = set()
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -105,9 +106,14 @@ class DigestArray:
 
 
 def ship_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Write the files on the driver and hand them to every executor, also to those that start later."""
+    """Write the files on the driver and hand them to every executor, also to those that start later; a list
+    that the application has already is not sent again."""
     folder = tempfile.mkdtemp(prefix="kinmark-rules-")
     stem = DigestArray.write(folder, rules)
+    app = spark.sparkContext.applicationId
+    if (app, stem) in _SENT:
+        return stem
+    _SENT.add((app, stem))
     for kind in ("keys", "starts", "heap", "lengths"):
         spark.sparkContext.addFile(os.path.abspath(os.path.join(folder, f"{stem}.{kind}")))
     return stem
