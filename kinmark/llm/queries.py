@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmark.llm import bpe, decontaminate, near_dedup, quality, shuffle_shards, spotsigs, url_filter
+from kinmark.llm import bpe, decontaminate, near_dedup, quality, shuffle_shards, spotsigs, suffix_dedup, url_filter
 from kinmark.llm._common import arrow_limits, table, text_or_empty
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -36,6 +36,10 @@ def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), law, "shard", "slot", grown)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_neighbours(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_url_filter, op4_bpe, op6_shuffle_shards, op8_decontaminate, op9_quality, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_url_filter, op4_bpe, op6_shuffle_shards, op7_suffix_dedup, op8_decontaminate, op9_quality, op10_spotsigs)}
 
 ORACLE_SQL = {
     "op1_near_dedup": r"""
