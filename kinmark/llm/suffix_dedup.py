@@ -311,15 +311,18 @@ def cut_repeats(df: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     spark = df.sparkSession
     arrow_limits(spark, 8)
     kind = df.schema[id_col].dataType
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spots = stored(repeated_anchors(docs), "anchors")
     release_shuffles(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = docs.join(spots, "id", "left")
+    # both branches below join the same rows of the same columns, so the texts are shuffled once
+    whole = docs.where("id is not null").join(spots.where("id is not null"), "id", "left")
     contexts = whole.where("spots is not null").select("id", "text", "spots").mapInArrow(_contexts, _CONTEXT)
     firsts = contexts.repartition(n, "key").sortWithinPartitions("key", "id", "p").mapInArrow(_firsts, "id long, q long")
     kept = firsts.groupBy("id").agg(F.collect_list("q").alias("firsts"))
     both = whole.join(kept, "id", "left").select("id", "text", F.transform("spots", lambda x: x["q"]).alias("repeats"), "firsts")
+    nothing = F.lit(None).cast("array<long>")
+    both = both.union(docs.where("id is null").select("id", "text", nothing, nothing))
     extra = ", kept_text string" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
