@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmark.llm._common import stored
+
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters outside ASCII that lower() would change too; only texts with one need the slower exact mapping.
@@ -75,8 +77,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, share: int = 20) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     found = hits(docs, items, id_col, text_col, item_col, item_text_col, width)
-    # one row for each document and window: places and items follow from it without repeating the words
-    runs = found.groupBy("doc", "win").agg(F.collect_set("start").alias("starts"))
+    # one row for each document and window, stored: places and items both follow from it
+    runs = stored(found.groupBy("doc", "win").agg(F.collect_set("start").alias("starts")), "windows")
     size = F.size("win")
     per_win = runs.select("doc", "win", F.flatten(F.transform("starts", lambda s: F.sequence(s, s + size - 1))).alias("places"))
     covered = per_win.select("doc", F.explode("places").alias("p")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
