@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmark.llm import bpe, decontaminate, near_dedup, quality, shuffle_shards, spotsigs, suffix_dedup, url_filter
+from kinmark.llm import bpe, decontaminate, html_extract, license_scan, near_dedup, quality, shuffle_shards, spotsigs, suffix_dedup, url_filter
 from kinmark.llm._common import arrow_limits, table, text_or_empty
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -21,12 +21,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: source / language / id stands for one."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return license_scan.scan(docs, "doc_id", "path", "text")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     vocab = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", vocab, digests_only=True)
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op6_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,9 +67,55 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_neighbours(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_url_filter, op4_bpe, op6_shuffle_shards, op7_suffix_dedup, op8_decontaminate, op9_quality, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_url_filter, op3_license_scan, op4_bpe, op5_html_extract, op6_shuffle_shards, op7_suffix_dedup, op8_decontaminate, op9_quality, op10_spotsigs)}
+
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.TEMPLATES))
+_LICENSE_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)*')"
+_BEST = """
+  SELECT unit, name, score FROM (
+    SELECT unit, name, score, row_number() OVER (PARTITION BY unit ORDER BY score DESC, name) AS k FROM (
+      SELECT v.unit, tn.name, round(sum(v.v * t.v) / (any_value(v.norm) * any_value(tn.norm)), 6) AS score
+      FROM (SELECT unit, word, v, sqrt(sum(v * v) OVER (PARTITION BY unit)) AS norm FROM
+             (SELECT c.unit, c.word, c.tf * coalesce(w.idf, (SELECT max(unseen) FROM weights)) AS v FROM {counts} c LEFT JOIN weights w USING (word))) v
+      JOIN tvec t USING (word) JOIN tnorm tn ON tn.unit = t.unit
+      GROUP BY v.unit, t.unit, tn.name
+    ) WHERE score >= {least}
+  ) WHERE k = 1
+"""
 
 ORACLE_SQL = {
+    "op3_license_scan": f"""
+WITH t(unit, name, text) AS (VALUES {_TEMPLATES}),
+base AS (SELECT doc_id AS id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, text FROM documents),
+lines AS (
+  SELECT id, trim(line, ' ') AS text FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM base)
+  WHERE regexp_matches(line, '(?i)licen[sc]|spdx|public domain')
+), l AS (SELECT DISTINCT text AS unit, text FROM lines),
+lcount AS (SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest({_LICENSE_WORDS}) AS word FROM l) GROUP BY ALL),
+tcount AS (SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest({_LICENSE_WORDS}) AS word FROM t) GROUP BY ALL),
+total AS (SELECT count(*) + {len(license_scan.TEMPLATES)} AS n FROM l),
+weights AS (
+  SELECT word, ln((n + 1) / (df + 1)) + 1 AS idf, ln(n + 1) + 1 AS unseen
+  FROM (SELECT word, CAST(count(*) AS DOUBLE) AS df FROM (SELECT word FROM lcount UNION ALL SELECT word FROM tcount) GROUP BY word), total
+), tvec AS (SELECT unit, word, tf * idf AS v FROM tcount JOIN weights USING (word)),
+tnorm AS (SELECT unit, t.name, sqrt(sum(v * v)) AS norm FROM tvec JOIN t USING (unit) GROUP BY ALL),
+by_line AS ({_BEST.format(counts="lcount", least=license_scan.LEAST)}),
+heads AS (
+  SELECT id, count(*) AS n_headers, arg_min(name, (-score, name)) AS own, max(score) AS own_score
+  FROM lines JOIN by_line ON by_line.unit = lines.text GROUP BY id
+), dcount AS (
+  SELECT unit, word, count(*) AS tf FROM (SELECT id AS unit, unnest({_LICENSE_WORDS}) AS word FROM base WHERE id IN (SELECT id FROM heads)) GROUP BY ALL
+), by_file AS ({_BEST.format(counts="dcount", least=license_scan.LEAST_FILE)}),
+above AS (
+  SELECT dir, arg_min(name, (-score, name)) AS given FROM base JOIN by_file ON by_file.unit = base.id GROUP BY dir
+), near AS (
+  SELECT d.dir, arg_max(a.given, length(a.dir)) AS given, max_by(a.dir, length(a.dir)) AS above
+  FROM (SELECT DISTINCT dir FROM base) d JOIN above a ON d.dir = a.dir OR starts_with(d.dir, a.dir || '/') GROUP BY d.dir
+)
+SELECT base.id AS doc_id, path, CAST(coalesce(n_headers, 0) AS BIGINT) AS n_headers, own, own_score, by_file.unit IS NOT NULL AS is_license_file,
+       coalesce(own, given) AS license, CASE WHEN own IS NULL THEN near.above END AS from_dir
+FROM base LEFT JOIN heads USING (id) LEFT JOIN by_file ON by_file.unit = base.id LEFT JOIN near ON near.dir = base.dir
+""",
     "op1_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> '') AS w FROM documents
