@@ -317,7 +317,9 @@ def cut_repeats(df: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # both branches below join the same rows of the same columns, so the texts are shuffled once
     whole = docs.where("id is not null").join(spots.where("id is not null"), "id", "left")
-    contexts = whole.where("spots is not null").select("id", "text", "spots").mapInArrow(_contexts, _CONTEXT)
+    # by id, as the earliest of equal contexts is the one that a task passes on (a merge join has sorted already)
+    repeated = whole.where("spots is not null").select("id", "text", "spots").sortWithinPartitions("id")
+    contexts = repeated.mapInArrow(_contexts, _CONTEXT)
     firsts = contexts.repartition(n, "key").sortWithinPartitions("key", "id", "p").mapInArrow(_firsts, "id long, q long")
     kept = firsts.groupBy("id").agg(F.collect_list("q").alias("firsts"))
     both = whole.join(kept, "id", "left").select("id", "text", F.transform("spots", lambda x: x["q"]).alias("repeats"), "firsts")
