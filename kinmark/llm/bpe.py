@@ -31,6 +31,16 @@ from pyspark.sql import DataFrame
 from kinmark.llm._common import schema_of
 
 PIECES_KEPT, CHUNKS_KEPT = 250_000, 150_000
+#: Ranges of code points that `regex` takes for letters or digits and the public library, whose
+#: Unicode version is older, does not.
+NOT_LETTERS = """
+    558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1
+    ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11df1-11df1 16ea0-16eb8 16ebb-16ed3
+    16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6
+    1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff
+    2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+NOT_DIGITS = "11de0-11de9 1246f-1246f 12475-1247f 12550-12686 16ff4-16ff6"
 #: str.split() parts at these as well; the vocabulary's pattern does not.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -43,6 +53,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in stays else chr(next(others)) for b in range(256)]
 
 
+def _ranges(text: str) -> str:
+    return "".join("-".join(f"\\U{int(c, 16):08x}" for c in r.split("-")) for r in text.split())
+
+
 class MergeBPE:
     """Encoder and decoder for a ``tokenizers`` JSON file with NFC, white-space and lower-case normalisers, a
     Split pre-tokenizer, byte-level letters and an end-of-word suffix."""
@@ -61,7 +75,10 @@ class MergeBPE:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.letters = byte_letters()
-        self.piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for kind, without in (("\\p{L}", NOT_LETTERS), ("\\p{N}", NOT_DIGITS)):
+            pattern = pattern.replace(kind, f"[{kind}--[{_ranges(without)}]]")
+        self.piece = regex.compile(pattern, regex.VERSION1)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.met: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
