@@ -65,9 +65,15 @@ def contracted(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, root) for every node with a link: the smallest id that it reaches. ``links`` has columns a and b."""
-    edges = stored(contracted(links), "links")
+    """(id, root) for every node with a link: the smallest id that it reaches. ``links`` has columns a and b; it is
+    read twice, so it should be a stored table. Up to LINKS_AT_ONCE links one task contracts them wholly."""
+    spark = links.sparkSession
+    # more tasks than this only cost time: rows are two integers
+    few = 1 if links.count() <= LINKS_AT_ONCE else 4 * spark.sparkContext.defaultParallelism
+    edges = stored(contracted(links.coalesce(few)), "links")
     for _ in range(most_rounds):
+        if few == 1:
+            break
         several = edges.groupBy("a").agg((F.min("b") < F.max("b")).alias("s")).where("s")
         if several.isEmpty() and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break  # every node hangs on one root, and no root on another
@@ -77,7 +83,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(below, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b")
-        edges = stored(contracted(small.distinct()), "links")
+        edges = stored(contracted(small.distinct().coalesce(few)), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")

@@ -5,10 +5,11 @@
 2. The forest: each tree is one order of the signatures, its own hash values compared in turn. All trees are
    sorted at once by range (so no region, however frequent its prefix, meets in one task), and each signature is
    held against its next ``NEIGHBOURS`` in the order while they share a prefix. How deep a shared prefix is
-   follows from the region: among many alike, neighbours agree on many values, elsewhere on one. The nearest
-   neighbour on either side whose short sketch does not rule the similarity out is a candidate.
+   follows from the region: among many alike, neighbours agree on many values, elsewhere on one. Neighbours whose
+   short sketches do not rule the similarity out are candidates.
 3. Candidates are grouped into clusters; a cluster's sets are brought together once, in blocks of bounded size,
-   and pairs are confirmed exactly with integers. Pairs across the blocks of a large cluster are confirmed in
+   and links are confirmed exactly with integers: the candidates first, then all pairs of the block that are not
+   connected and share one of their rarest shingles, so that no link inside a block depends on luck. Pairs across the blocks of a large cluster are confirmed in
    rounds: each component tests its most alike partners first, and pairs that are connected meanwhile drop out.
 4. Components of the confirmed links give each document the smallest id that it reaches.
 
@@ -22,6 +23,7 @@ share an id count as one document. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,10 @@ from kinmark.llm._common import arrow_limits, release_shuffles, stored
 from kinmark.llm.components import Forest, components
 
 TREES, DEPTH, SKETCH, NEIGHBOURS = 20, 6, 64, 4
-SMALL_CLUSTER, BLOCK = 256, 128
+#: A cluster is confirmed in one block up to so many shingles (8 bytes each), beyond in blocks of so many texts.
+SMALL_CLUSTER, BLOCK = 4_000_000, 128
+#: Up to so many ids (8 bytes each) choose the texts that are shuffled by a broadcast; beyond, all texts are.
+FEW_IDS = 1_000_000
 WORDS_KEPT = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,16 +154,10 @@ def _neighbours(percent: int, edges_only: bool):
             est[at] = (sketch[at] == sketch[at + w]).mean(axis=1)
             good[w] = np.where(near & (est >= least), est, -1.0)
         out = []
-        ahead, behind = np.zeros(n, bool), np.zeros(n, bool)
         for w, est in good.items():
-            ok = est >= 0
-            first, last = np.flatnonzero(ok), None
-            take = first[~ahead[first] | ~behind[first + w]]
-            ahead[first] = True
-            behind[first + w] = True
+            take = np.flatnonzero(est >= 0)
             take = take[take + w >= fresh]
-            lo, hi = np.minimum(ids[take], ids[take + w]), np.maximum(ids[take], ids[take + w])
-            out.append((lo, hi, est[take]))
+            out.append((np.minimum(ids[take], ids[take + w]), np.maximum(ids[take], ids[take + w]), est[take]))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +215,39 @@ def _confirm(width: int, percent: int):
     def settle(rows: list[tuple[int, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
         sets = {i: s for i, s, _ in rows}
         forest, links = Forest(), []
-        for a, s, partners in rows:
+
+        def test(a: int, b: int) -> None:
+            if forest.root(a) != forest.root(b) and similar(sets[a], sets[b], percent):
+                forest.join(a, b)
+                links.append((a, b))
+
+        for a, _, partners in rows:
             for b in partners:
-                if b in sets and forest.root(a) != forest.root(b) and similar(s, sets[b], percent):
-                    forest.join(a, b)
-                    links.append((a, b))
+                if b in sets:
+                    test(a, b)
+        roots = Counter(map(forest.root, sets))
+        if len(roots) < 2 or len(sets) < 3:
+            return links
+        # whatever the forest's order has not put side by side: two similar sets share one of their rarest shingles,
+        # and of two sets that are not connected yet one lies outside the largest component
+        largest = max(roots, key=lambda r: (roots[r], -r))
+        seen, counts = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+        prefix = {}
+        for i, s in sets.items():
+            f = counts[np.searchsorted(seen, s)]
+            n = len(s) - -(-percent * len(s) // 100) + 1
+            order = np.lexsort((s, f))[:n]
+            prefix[i] = s[order][f[order] > 1].tolist()
+        index: dict[int, list[int]] = {}
+        for i in sorted(sets):
+            if forest.root(i) != largest:
+                for x in prefix[i]:
+                    index.setdefault(x, []).append(i)
+        for i in sorted(sets):
+            near = {j for x in prefix[i] for j in index.get(x, ())}
+            for j in sorted(near):
+                if 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])):
+                    test(i, j)
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +285,9 @@ def _sets(width: int):
 def confirmed(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
     """wanted: (id, block, partners), a row for each block that an id's set is needed in. Links (a, b)."""
     kind = "block string, id long, set binary, partners array<long>"
+    ids = wanted.select("id").distinct()
+    if ids.count() <= FEW_IDS:
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
     sets = wanted.join(docs, "id").select("block", "id", "text", "partners").mapInArrow(_sets(width), kind)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.repartition(n, "block").sortWithinPartitions("block", "id").mapInArrow(_confirm(width, percent), "a long, b long")
@@ -269,12 +299,12 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     arrow_limits(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = stored(sketches(docs, width), "sketches")
-    classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
+    classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("n").alias("n"))
     pairs, places = candidates(classes, percent)
     pairs, places = stored(pairs, "pairs"), places
     release_shuffles(spark)
     clusters = components(pairs)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = clusters.join(classes.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("size"))
     small = F.concat(F.lit("c"), F.col("root"))
     large = F.concat_ws("-", F.lit("p"), "root", "part", F.floor(F.col("pos") / BLOCK))
     homes = clusters.join(sizes, "root").join(places, "id", "left").select("id", F.when(F.col("size") <= SMALL_CLUSTER, small).otherwise(large).alias("block"))
@@ -284,17 +314,16 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     inside = placed.where("block_a = block_b")
     partners = inside.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("partners"))
     ends = inside.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = ends.join(homes, "id").join(partners, "id", "left").select("id", "block", "partners")
+    wanted = stored(ends.join(homes, "id").join(partners, "id", "left").select("id", "block", "partners"), "wanted")
     # one text for an id, also where rows share it
     texts = docs.where("id is not null")
     links = stored(confirmed(texts, wanted, width, percent), "confirmed")
     release_shuffles(spark)
-    roots = components(links)
+    roots = stored(components(links), "roots")
     left = placed.where("block_a <> block_b").select("a", "b", "est")
     if left.isEmpty():
         return _finish(df, base, classes, roots, id_col)
     for most in (1, 1, 4, 16, None):
-        roots = stored(roots, "roots")
         ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         left = left.join(ra, "a", "left").join(rb, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
         left = stored(left, "left")
@@ -312,7 +341,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
         more = stored(confirmed(texts, one.union(other), width, percent), "confirmed")
         left = left.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "est")
         links = links.union(more)
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+        roots = stored(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     return _finish(df, base, classes, roots, id_col)
 
 
