@@ -110,11 +110,11 @@ def edited_neighbours(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(edges, ids.fillna(edges[0] - 1 if len(edges) else 0).to_numpy(), side="right")
-        return pd.Series(at.astype("int32"))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype("int32"))
 
     # the ranges' first rows: at most MOST_RANGES, read from the id and hash columns alone
-    keyed = docs.withColumn("r", range_of("id"))
+    lowest = F.lit(int(edges[0]) - 1 if len(edges) else 0).cast(kind)  # nulls come first
+    keyed = docs.withColumn("r", range_of(F.coalesce("id", lowest)))
     firsts = sorted((tuple(x) for x in keyed.groupBy("r").agg(F.min(F.struct("id", "h")).alias("m")).select("r", "m.id", "m.h").collect()), key=lambda x: x[0])
     numbers = [x[0] for x in firsts]
     before = [(r, i, h, numbers[k - 1]) for k, (r, i, h) in enumerate(firsts)]

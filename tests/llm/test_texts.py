@@ -148,6 +148,12 @@ def test_spotsigs_many_ranges(spark, monkeypatch):
     rows.sort()
     for (k, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
         assert out[k]["edited_sha256"] == hashlib.sha256(spotsigs.edited(t, nxt).encode()).hexdigest()
+    huge = [(2**62 + i, t) for i, (_, t) in enumerate(rows)]
+    with_null = spark.createDataFrame([(None, "the cat of big sun"), *huge], "doc_id long, text string")
+    after = [t for _, t in huge[1:]] + ["the cat of big sun"]
+    out = {x["doc_id"]: x["edited_sha256"] for x in spotsigs.edited_neighbours(with_null, "doc_id", "text").collect()}
+    assert [out[k] for k, _ in huge] == [hashlib.sha256(spotsigs.edited(t, n).encode()).hexdigest() for (_, t), n in zip(huge, after)]
+    assert out[None] == hashlib.sha256(spotsigs.edited("the cat of big sun", huge[0][1]).encode()).hexdigest()
 
 
 def test_spotsigs_pairs(spark):
