@@ -158,3 +158,16 @@ def test_entry_module_needs_no_corpus_operators(spark):
 
     assert {*plans.QUERIES} <= {*entry.queries()} and {*entry.oracle_sql()} <= {*entry.queries()}
     assert entry.entry(spark).columns == ["a_id", "b_id", "score", "rank"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kinmark.__main__ import main
+
+    (tmp_path / "train").mkdir()
+    for source in (1, 2, 3):
+        rows = [f"{i}\t{name}\t{addr}\t{c}" for i, s, c, name, addr in RECORDS if s == source]
+        (tmp_path / f"train/source{source}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "\n".join(rows) + "\n")
+    assert main(["link", str(tmp_path), "train", str(tmp_path / "out")]) == 0
+    assert "ok   matches_are_candidates" in capsys.readouterr().out
+    assert main(["profile", str(tmp_path), "train", str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out/profile")).count() == 3
