@@ -9,8 +9,10 @@
    short sketches do not rule the similarity out are candidates.
 3. Candidates are grouped into clusters; a cluster's sets are brought together once, in blocks of bounded size,
    and links are confirmed exactly with integers: the candidates first, then all pairs of the block that are not
-   connected and share one of their rarest shingles, so that no link inside a block depends on luck. Pairs across the blocks of a large cluster are confirmed in
+   connected and share one of their rarest shingles, so that no link inside a block depends on luck. Candidates across the blocks of a large cluster are confirmed in
    rounds: each component tests its most alike partners first, and pairs that are connected meanwhile drop out.
+   Then every set of a large cluster outside its largest component meets all sets of the cluster: buckets of
+   bounded size, two by two, with the same completion as inside a block. So no link inside a cluster depends on luck.
 4. Components of the confirmed links give each document the smallest id that it reaches.
 
 The sketch test lies five standard deviations below the similarity asked for; with ``TREES`` orders a pair at the
@@ -210,23 +212,29 @@ def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _confirm(width: int, percent: int):
-    """Rows (block, id, text, partners), sorted by block: the confirmed links that connect what a block can."""
+    """Rows (block, id, set, partners), sorted by block: the confirmed links that connect what a block can. Two more
+    columns may follow: the component that the id is known to be in, and its side of the block (ids of one side are
+    not held against each other; null: against all)."""
 
-    def settle(rows: list[tuple[int, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
-        sets = {i: s for i, s, _ in rows}
+    def settle(rows: list[tuple[int, np.ndarray, list[int], int | None, int | None]]) -> list[tuple[int, int]]:
+        sets, sides = {r[0]: r[1] for r in rows}, {r[0]: r[4] for r in rows}
         forest, links = Forest(), []
+        firsts: dict[int, int] = {}
+        for i, _, _, known, _ in rows:
+            if known is not None:
+                forest.join(firsts.setdefault(known, i), i)
 
         def test(a: int, b: int) -> None:
             if forest.root(a) != forest.root(b) and similar(sets[a], sets[b], percent):
                 forest.join(a, b)
                 links.append((a, b))
 
-        for a, _, partners in rows:
+        for a, _, partners, _, _ in rows:
             for b in partners:
                 if b in sets:
                     test(a, b)
         roots = Counter(map(forest.root, sets))
-        if len(roots) < 2 or len(sets) < 3:
+        if len(roots) < 2 or (len(sets) < 3 and any(r[2] for r in rows)):
             return links
         # whatever the forest's order has not put side by side: two similar sets share one of their rarest shingles,
         # and of two sets that are not connected yet one lies outside the largest component
@@ -246,20 +254,24 @@ def _confirm(width: int, percent: int):
         for i in sorted(sets):
             near = {j for x in prefix[i] for j in index.get(x, ())}
             for j in sorted(near):
+                if sides[i] is not None and sides[i] == sides[j]:
+                    continue  # they meet in the block of their own bucket
                 if 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])):
                     test(i, j)
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, list[int]]] = []
+        held: list[tuple[int, np.ndarray, list[int], int | None, int | None]] = []
         now = None
         links: list[tuple[int, int]] = []
         for batch in batches:
-            for block, i, packed, partners in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            columns += [[None] * batch.num_rows] * (6 - len(columns))
+            for block, i, packed, partners, known, side in zip(*columns, strict=True):
                 if block != now:
                     links += settle(held)
                     held, now = [], block
-                held.append((i, np.frombuffer(packed, dtype=np.uint64), partners or []))
+                held.append((i, np.frombuffer(packed, dtype=np.uint64), partners or [], known, side))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
             links = []
         links = settle(held)
@@ -293,6 +305,35 @@ def confirmed(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> D
     return sets.repartition(n, "block").sortWithinPartitions("block", "id").mapInArrow(_confirm(width, percent), "a long, b long")
 
 
+def completed(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame:
+    """members: (id, cluster, n). The links (a, b) between sets of a cluster that ``roots`` does not connect.
+
+    A link that is still missing has an end outside the cluster's largest component. The sets outside and those
+    inside are dealt to buckets of half a block; each outer bucket meets every bucket of the cluster."""
+    half = max(1, SMALL_CLUSTER // 2)
+    known = members.join(roots, "id", "left").select("id", "cluster", "n", F.coalesce("root", "id").alias("known"))
+    known = stored(known, "known")
+    counts = known.groupBy("cluster", "known").agg(F.count("*").alias("c"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("c", (-F.col("known")).alias("k"))).alias("m")).select("cluster", (-F.col("m.k")).alias("main"))
+    known = known.join(main, "cluster").withColumn("outer", F.col("known") != F.col("main"))
+    buckets = lambda outer: F.ceil(F.coalesce(F.sum(F.when(F.col("outer") == outer, F.col("n"))), F.lit(0)) / half)
+    numbers = known.groupBy("cluster").agg(buckets(True).alias("outers"), buckets(False).alias("inners")).where("outers > 0")
+    dealt = F.xxhash64("id")
+    known = known.join(numbers, "cluster").withColumn("k", F.when(F.col("outer"), F.pmod(dealt, F.col("outers"))).otherwise(F.col("outers") + F.pmod(dealt, F.col("inners"))))
+    last = F.when(F.col("outer"), F.col("outers") + F.col("inners")).otherwise(F.col("outers")) - 1
+    met = known.select("id", "known", "cluster", "k", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("j"))
+    block = F.concat_ws("-", F.lit("g"), "cluster", F.least("k", "j"), F.greatest("k", "j"))
+    side = F.when(F.col("k") != F.col("j"), (F.col("k") > F.col("j")).cast("int"))
+    met = met.select("id", block.alias("block"), "known", side.alias("side"))
+    # each text is cut once, whatever the number of its blocks
+    ids = known.select("id", F.lit("").alias("block"), F.lit(None).cast("array<long>").alias("partners"))
+    sets = ids.join(docs, "id").select("block", "id", "text", "partners").mapInArrow(_sets(width), "block string, id long, set binary, partners array<long>")
+    sets = stored(sets.select("id", "set", "partners").dropDuplicates(["id"]), "whole")
+    rows = met.join(sets, "id").select("block", "id", "set", "partners", "known", "side")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "block").sortWithinPartitions("block", "id").mapInArrow(_confirm(width, percent), "a long, b long")
+
+
 def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75, width: int = 5) -> DataFrame:
     """Per row: the id, n_shingles, component_id, kept."""
     spark = df.sparkSession
@@ -307,6 +348,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     sizes = clusters.join(classes.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("size"))
     small = F.concat(F.lit("c"), F.col("root"))
     large = F.concat_ws("-", F.lit("p"), "root", "part", F.floor(F.col("pos") / BLOCK))
+    members = clusters.join(sizes.where(F.col("size") > SMALL_CLUSTER), "root").join(classes.select("id", "n"), "id").select("id", F.col("root").alias("cluster"), "n")
     homes = clusters.join(sizes, "root").join(places, "id", "left").select("id", F.when(F.col("size") <= SMALL_CLUSTER, small).otherwise(large).alias("block"))
     homes = stored(homes, "blocks")
     placed = pairs.join(homes.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").join(homes.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b")
@@ -321,9 +363,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     release_shuffles(spark)
     roots = stored(components(links), "roots")
     left = placed.where("block_a <> block_b").select("a", "b", "est")
-    if left.isEmpty():
-        return _finish(df, base, classes, roots, id_col)
-    for most in (1, 1, 4, 16, None):
+    for most in () if left.isEmpty() else (1, 1, 4, 16, None):
         ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         left = left.join(ra, "a", "left").join(rb, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
         left = stored(left, "left")
@@ -342,6 +382,10 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
         left = left.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "est")
         links = links.union(more)
         roots = stored(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+    members = stored(members, "members")
+    if not members.isEmpty():
+        more = stored(completed(texts, members, roots, width, percent), "completed")
+        roots = stored(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     return _finish(df, base, classes, roots, id_col)
 
 

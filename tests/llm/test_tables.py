@@ -130,6 +130,23 @@ def test_near_components(spark, monkeypatch, block):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_near_components_of_a_large_template_group(spark, monkeypatch):
+    """Members of a template at a likeness just under the limit stand between true partners in every order."""
+    monkeypatch.setattr(near_dedup, "SMALL_CLUSTER", 4_000)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(21)
+    core, texts = [f"t{i}" for i in range(100)], []
+    for m in range(300):
+        tail = [f"m{m}x{k}" for k in range(17)]
+        texts += [core + tail, core + tail[:2] + [f"n{m}x{k}" for k in range(15)]] if m % 5 == 0 else [core + tail]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) == 300
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == want
+
+
 def test_near_components_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_components(df, "doc_id", "text").count() == 0
