@@ -6,6 +6,12 @@ distinct candidate lines and templates; the dot products come from a join on wor
 fixed list that is small enough to broadcast. A line whose best cosine reaches ``least`` names the file's licence;
 of several lines the best one counts, ties go to the first name in the alphabet.
 
+Licence texts and standard notices (``license_texts`` and ``NOTICES``) are looked for in all files, whatever their
+words: windows of each template's own number of words, an eighth of it apart, and the whole text. Weights come from
+these templates alone. A window that reaches ``LEAST_TEXT`` counts as one more header; a whole text that does is a
+licence file. Files are ruled out first by a bound: a cosine of c needs c * c of the template's squared weight in
+words that the file has.
+
 A file that is a licence itself (its whole text, not a line, reaches ``least_file``) speaks for its directory. A
 file without a licence of its own inherits from the nearest directory on its path that has one: distinct
 directories are exploded to their ancestors, joined to the licensed ones, and the deepest is joined back to files.
@@ -18,10 +24,13 @@ lines). An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmark.llm._common import stored
+
 #: Licence names and the sentences that announce them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,6 +53,34 @@ TEMPLATES = (
 SPEAKS = "(?i)licen[sc]|spdx|public domain"
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
 LEAST, LEAST_FILE = 0.7, 0.45
+LEAST_TEXT = 0.75
+#: Up to so many pairs of a file and a template are broadcast to the texts; beyond, the texts are shuffled.
+FEW_FILES = 100_000
+#: Standard notices of several lines.
+_GNU = (
+    "{this} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, "
+    "either version {v} of the License, or (at your option) any later version. {this} is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. "
+    "You should have received a copy of the GNU {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+NOTICES = (
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a "
+        "copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+        "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+        "the specific language governing permissions and limitations under the License.",
+    ),
+    ("GPL-2.0", _GNU.format(this="This program", kind="General Public License", v="2")),
+    ("GPL-3.0", _GNU.format(this="This program", kind="General Public License", v="3")),
+    ("LGPL-3.0", _GNU.format(this="This library", kind="Lesser General Public License", v="3")),
+    ("AGPL-3.0", _GNU.format(this="This program", kind="Affero General Public License", v="3")),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You "
+        "can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+)
 
 
 def words(text: Column) -> Column:
@@ -75,6 +112,45 @@ def best_match(units: DataFrame, weights: DataFrame, unseen: float, templates: D
     return best.select("unit", F.col("m.name").alias("name"), (-F.col("m.s")).alias("score"))
 
 
+def text_templates() -> list[tuple[str, str]]:
+    """(name, text) of the licence texts and notices; the two-clause BSD text is the other one without its third clause."""
+    texts = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    three = dict(texts)["BSD-3-Clause"]
+    two = three[: three.index("3. Neither")] + three[three.index("THIS SOFTWARE") :]
+    return [*texts, ("BSD-2-Clause", two), *NOTICES]
+
+
+def text_matches(base: DataFrame) -> DataFrame:
+    """id, name, score, whole (is it the whole text) of the licence texts and notices that files (id, text) hold."""
+    rows = [(k, name, text) for k, (name, text) in enumerate(text_templates())]
+    templates = base.sparkSession.createDataFrame(rows, "unit int, name string, text string")
+    tf = counted(templates)
+    weights = tf.groupBy("word").agg((F.log(F.lit(len(rows) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    unseen = math.log(len(rows) + 1) + 1
+    own = tf.join(weights, "word").select(F.col("unit").alias("t"), "word", (F.col("tf") * F.col("idf")).alias("tv"), "idf")
+    sizes = own.groupBy("t").agg(F.sqrt(F.sum(F.col("tv") * F.col("tv"))).alias("tn"))
+    lengths = templates.select(F.col("unit").alias("t"), "name", F.size(words(F.col("text"))).alias("length"))
+    # vectors of the fixed templates: a few thousand rows
+    table = own.join(sizes, "t").select("t", "word", "tv", "tn")
+    cut = base.select("id", words(F.col("text")).alias("w"))
+    held = cut.select("id", F.explode(F.array_distinct("w")).alias("word")).join(F.broadcast(table), "word")
+    bound = held.groupBy("id", "t").agg(F.sum(F.col("tv") * F.col("tv") / (F.col("tn") * F.col("tn"))).alias("share"))
+    possible = bound.where(F.col("share") >= LEAST_TEXT * LEAST_TEXT - 1e-9).select("id", "t").join(F.broadcast(lengths), "t")
+    possible = stored(possible, "possible")
+    few = possible.count() <= FEW_FILES
+    step = F.greatest(F.lit(1), F.floor(F.col("length") / 8)).cast("int")
+    last = F.greatest(F.lit(1), F.size("w") - F.col("length") + 1)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, step), F.array(last)))
+    spots = cut.join(F.broadcast(possible) if few else possible, "id").select("id", "t", "name", "w", F.explode(F.concat(F.array(F.lit(0)), starts)).alias("start"), "length")
+    part = F.when(F.col("start") == 0, F.col("w")).otherwise(F.slice("w", F.greatest("start", F.lit(1)), F.col("length")))
+    inside = spots.select("id", "t", "name", "start", F.explode(part).alias("word")).groupBy("id", "t", "name", "start", "word").agg(F.count("*").alias("tf"))
+    weighed = inside.join(F.broadcast(weights), "word", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    both = weighed.join(F.broadcast(table.select("t", "word", "tv")), ["t", "word"], "left").join(F.broadcast(sizes), "t")
+    dot = F.coalesce(F.sum(F.col("v") * F.col("tv")), F.lit(0.0))
+    scored = both.groupBy("id", "t", "name", "start").agg(F.round(dot / (F.sqrt(F.sum(F.col("v") * F.col("v"))) * F.max("tn")), 6).alias("score"))
+    return stored(scored.where(F.col("score") >= LEAST_TEXT).select("id", "name", "score", (F.col("start") == 0).alias("whole")), "texts")
+
+
 def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: float = LEAST, least_file: float = LEAST_FILE) -> DataFrame:
     """Per file: the id, path, n_headers, own (licence or null), own_score, is_license_file, license (own or
     inherited, else null), from_dir (null unless inherited)."""
@@ -93,6 +169,13 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     headers = headers.select("id", "n_headers", F.col("m.name").alias("own"), (-F.col("m.s")).alias("own_score"))
     whole = speaking.join(headers.select("id"), "id", "left_semi").select(F.col("id").alias("unit"), "text")
     as_file = best_match(whole, weights, unseen, templates, least_file).select(F.col("unit").alias("id"), F.col("name").alias("file_name"), F.col("score").alias("file_score"))
+    found = text_matches(base).withColumn("m", F.struct((-F.col("score")).alias("s"), "name"))
+    found = found.groupBy("id").agg(F.min("m").alias("m"), F.min(F.when(F.col("whole"), F.col("m"))).alias("f"))
+    first = lambda score, name, other: F.when(F.col(other).isNull() | (-F.col(score) < F.col(other)["s"]) | ((-F.col(score) == F.col(other)["s"]) & (F.col(name) <= F.col(other)["name"])), F.struct((-F.col(score)).alias("s"), F.col(name).alias("name"))).otherwise(F.col(other))
+    headers = headers.join(found.select("id", "m"), "id", "full").withColumn("b", first("own_score", "own", "m"))
+    headers = headers.select("id", (F.coalesce("n_headers", F.lit(0)) + F.col("m").isNotNull().cast("int")).alias("n_headers"), F.col("b.name").alias("own"), (-F.col("b.s")).alias("own_score"))
+    as_file = as_file.join(found.where("f is not null").select("id", "f"), "id", "full").withColumn("b", first("file_score", "file_name", "f"))
+    as_file = as_file.select("id", F.col("b.name").alias("file_name"), (-F.col("b.s")).alias("file_score"))
     slim = base.select("id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"))
     marked = slim.join(headers, "id", "left").join(as_file, "id", "left")
     speakers = marked.where("file_name is not null and path is not null").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("file_score")).alias("s"), F.col("file_name").alias("name"))).alias("m"))

@@ -288,6 +288,24 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0), "doc_id", "path", "text").count() == 0
 
 
+def test_license_texts(spark):
+    known = dict(license_scan.text_templates()[: -len(license_scan.NOTICES)])
+    notices = dict(license_scan.NOTICES)
+    code = lambda: "\n".join(f"x{k} = y{k} + {k}" for k in range(60))
+    wrapped = lambda text, mark, n: "\n".join(mark + " ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    rows = [(k, f"d{k}/LICENSE", "Copyright (c) 1999 Someone Else\n" + text) for k, text in enumerate(known.values())]
+    rows += [(100 + k, f"h{k}/a.c", code() + "\n" + wrapped(text, " * ", 7) + "\n" + code()) for k, text in enumerate(notices.values())]
+    rows += [(200, "m/a.c", wrapped(known["MIT"], "# ", 9) + "\n" + code()), (201, "b/a.c", wrapped(known["BSD-3-Clause"], "// ", 9) + "\n" + code()), (202, "d0/sub/a.c", code()), (203, "n/a.c", code()), (204, "n/b.c", "")]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path", "text").collect()}
+    assert len(out) == len(rows)
+    for k, name in enumerate(known):
+        assert (out[k]["own"], out[k]["is_license_file"]) == (name, True)
+    for k, name in enumerate(notices):
+        assert (out[100 + k]["own"], out[100 + k]["is_license_file"]) == (name, False)
+    assert out[200]["own"] == "MIT" and out[201]["own"] == "BSD-3-Clause"
+    assert out[202]["license"] == next(iter(known)) and out[202]["from_dir"] == "d0" and out[203]["license"] is None and out[204]["own"] is None
+
+
 # queries -----------------------------------------------------------------------------------------------------------------
 
 
