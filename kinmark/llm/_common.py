@@ -29,17 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+#: Spark's own switch: the shuffle files of a command are removed as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. The
+    shuffles of the write go when it has ended; the folder goes when the application's driver ends (a reader of a
+    lazy result may need it until then)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver JVM to collect garbage, so shuffle files of stored (finished) plans are removed."""
-    spark.sparkContext._jvm.System.gc()
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Hadoop's own registry: the file system deletes the folder when the driver's JVM shuts down."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def arrow_limits(spark: SparkSession, mb: int = 16) -> None:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinmark.llm._common import arrow_limits, release_shuffles, stored
+from kinmark.llm._common import arrow_limits, stored
 from kinmark.llm.components import Forest, components
 
 TREES, DEPTH, SKETCH, NEIGHBOURS = 20, 6, 64, 4
@@ -343,7 +343,6 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("n").alias("n"))
     pairs, places = candidates(classes, percent)
     pairs, places = stored(pairs, "pairs"), places
-    release_shuffles(spark)
     clusters = components(pairs)
     sizes = clusters.join(classes.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("size"))
     small = F.concat(F.lit("c"), F.col("root"))
@@ -360,7 +359,6 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     # one text for an id, also where rows share it
     texts = docs.where("id is not null")
     links = stored(confirmed(texts, wanted, width, percent), "confirmed")
-    release_shuffles(spark)
     roots = stored(components(links), "roots")
     left = placed.where("block_a <> block_b").select("a", "b", "est")
     for most in () if left.isEmpty() else (1, 1, 4, 16, None):

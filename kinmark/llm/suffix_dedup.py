@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmark.llm._common import arrow_limits, release_shuffles, stored
+from kinmark.llm._common import arrow_limits, stored
 from kinmark.llm.suffix_array import suffix_order
 
 LENGTH, GRAM, CELL = 100, 32, 16
@@ -159,9 +159,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def _first_windows(rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int]]:
-    """rows: (a, b, context, group) in order of occurrence inside each group. For each row the runs (row, largest
-    offset, smallest offset) of windows that are the first of their kind."""
+def _first_windows(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows: (a, b, context) in order of occurrence inside each group. The runs of windows that are the first of
+    their kind, as arrays: row, largest offset, smallest offset."""
     n = len(rows)
     a, b = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     top = a // CELL  # cells are counted from the anchor: the first one starts top * CELL before it
@@ -171,13 +171,13 @@ def _first_windows(rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, i
     body = np.zeros((n, width + LENGTH + CELL), np.uint8)
     lengths = np.zeros(n, np.int64)
     head = np.zeros((n, CELL), np.uint8)  # the bytes before the first cell, right-aligned
-    for r, (_, _, ctx, _) in enumerate(rows):
-        raw = np.frombuffer(ctx, np.uint8)
-        k = skip[r]
+    for r, k in enumerate(skip.tolist()):
+        raw = np.frombuffer(rows[r][2], np.uint8)
         if k:
             head[r, CELL - k :] = raw[:k]
-        body[r, : len(raw) - k] = raw[k:]
-        lengths[r] = len(raw) - k
+        size = len(raw) - k
+        body[r, :size] = raw[k:]
+        lengths[r] = size
     grid = body[:, :width].reshape(n, width // CELL, CELL)
     real = np.arange(width // CELL)[None, :] < cells[:, None]
     _, symbol = np.unique(np.ascontiguousarray(grid[real]).view(">u8").reshape(-1, 2), axis=0, return_inverse=True)
@@ -204,7 +204,7 @@ def _first_windows(rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, i
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
     common = np.minimum(common, np.minimum(window_len[1:], window_len[:-1]))
     source = np.concatenate([head, body], axis=1)
-    first: list[tuple[int, int]] = []
+    firsts: list[tuple[np.ndarray, np.ndarray]] = []
     for t in range(CELL):  # t bytes before a cell, then LENGTH - t bytes from it
         run = np.concatenate([[0], np.cumsum(common < LENGTH - t)]) if m else np.empty(0, np.int64)
         low = np.arange(0, SPAN + CELL, CELL)[None, :] + t  # offsets of windows with t bytes before their cell
@@ -215,39 +215,38 @@ def _first_windows(rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, i
         c = top[r] - o // CELL
         keys = np.zeros((len(r), CELL), np.uint8)
         keys[:, :t] = source[r[:, None], (CELL + c * CELL - t)[:, None] + np.arange(t)[None, :]]
-        words = np.column_stack([keys.view(">u8").astype(np.uint64), run[rank[r, c]].astype(np.uint64)])
-        by = np.lexsort((r, words[:, 2], words[:, 1], words[:, 0]))
-        new = np.concatenate([[True], (words[by[1:]] != words[by[:-1]]).any(axis=1)])
-        first += zip(r[by[new]].tolist(), o[by[new]].tolist(), strict=True)
-    first.sort(key=lambda x: (x[0], -x[1]))
-    runs: list[list[int]] = []
-    for r, o in first:
-        if runs and runs[-1][0] == r and runs[-1][2] == o + 1:
-            runs[-1][2] = o
-        else:
-            runs.append([r, o, o])
-    return [tuple(x) for x in runs]
+        used = [run[rank[r, c]].astype(np.uint64), *(keys.view(">u8").astype(np.uint64).T)][: 1 + -(-t // 8)]
+        by = np.lexsort((r, *used))
+        new = np.concatenate([[True], np.any([x[by[1:]] != x[by[:-1]] for x in used], axis=0)])
+        firsts.append((r[by[new]], o[by[new]]))
+    if not firsts:
+        return (np.empty(0, np.int64),) * 3
+    r, o = (np.concatenate(x) for x in zip(*firsts, strict=True))
+    by = np.lexsort((-o, r))
+    r, o = r[by], o[by]
+    cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] - 1)]))
+    return r[cut], o[cut], o[np.append(cut[1:], len(r)) - 1]
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by (key, id, p) to the windows that stay: (id, q), q as in the anchors."""
-    pending: list[tuple[int, int, bytes, int]] = []
+    pending: list[tuple[int, int, bytes]] = []
     whose: list[tuple[int, int]] = []
     out: list[tuple[int, int]] = []
 
-    def close(group: dict[tuple, tuple[int, int]], number: int) -> None:
+    def close(group: dict[tuple, tuple[int, int]]) -> None:
         if len(group) == 1:
             ((a, b, _), (i, p)) = next(iter(group.items()))
             out.append((i, (p << 16) | (a << 8) | b))
             return
-        for (a, b, ctx), owner in group.items():
-            pending.append((a, b, ctx, number))
-            whose.append(owner)
+        pending.extend(group)
+        whose.extend(group.values())
 
     def settle() -> None:
-        for r, a, b in _first_windows(pending) if pending else []:
-            i, p = whose[r]
-            out.append((i, (p << 16) | (a << 8) | b))
+        if pending:
+            r, a, b = _first_windows(pending)
+            i, p = np.array(whose, dtype=np.int64)[r].T
+            out.extend(zip(i.tolist(), ((p << 16) | (a << 8) | b).tolist(), strict=True))
         pending.clear()
         whose.clear()
 
@@ -256,20 +255,20 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return rows
 
-    now, group, number = None, {}, 0
+    now, group = None, {}
     for batch in batches:
         for key, a, b, ctx, i, p in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if key != now:
                 if group:
-                    close(group, number)
-                now, group, number = key, {}, number + 1
+                    close(group)
+                now, group = key, {}
                 if len(pending) >= CONTEXTS_AT_ONCE:
                     settle()
             group.setdefault((a, b, ctx), (i, p))
         if len(out) >= 5000:
             yield emit()
     if group:
-        close(group, number)
+        close(group)
     settle()
     yield emit()
 
@@ -313,7 +312,6 @@ def cut_repeats(df: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     kind = df.schema[id_col].dataType
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spots = stored(repeated_anchors(docs), "anchors")
-    release_shuffles(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # both branches below join the same rows of the same columns, so the texts are shuffled once
     whole = docs.where("id is not null").join(spots.where("id is not null"), "id", "left")
