@@ -1,118 +1,227 @@
-"""String similarity (SF1-SF8). What Spark has stays in Catalyst; the rest is one Arrow function over whole columns."""
+"""String similarity (SF1-SF8). What Spark has stays in Catalyst; the rest is one Arrow function over whole columns.
+
+Longest common subsequences are computed for many pairs side by side: a lane is one text (or window of a text) walked
+against the bit masks of a pattern, 64 pattern characters to a machine word, and every step advances all lanes of a
+block with a few numpy operations. A partial ratio is the best of one lane for each window, so a batch of pairs costs
+as many steps as its longest window, not as the number of its windows. Equal pairs of a batch are computed once.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-@lru_cache(maxsize=4096)
-def _masks(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, ch in enumerate(text):
-        out[ch] = out.get(ch, 0) | 1 << i
+Texts = Sequence[str]
+#: Lanes that are walked together; each holds a few words.
+LANES = 1 << 17
+
+
+class Lanes:
+    """Patterns of at most 64 * words characters, the mask rows of the texts that they meet, and the lanes to walk."""
+
+    def __init__(self, words: int):
+        self.words = words
+        self.rows: list[int] = []
+        self.first: list[np.ndarray] = []
+        self.steps: list[np.ndarray] = []
+        self.full: list[np.ndarray] = []
+
+    def put(self, pattern: str, text: str) -> int:
+        """Append the text's mask rows; the number of the first."""
+        masks: dict[str, int] = {}
+        for i, ch in enumerate(pattern):
+            masks[ch] = masks.get(ch, 0) | 1 << i
+        at = len(self.rows)
+        self.rows.extend([masks.get(ch, 0) for ch in text])
+        return at
+
+    def add(self, size: int, first: np.ndarray, steps: np.ndarray) -> None:
+        self.first.append(first)
+        self.steps.append(steps)
+        self.full.append(np.full(len(first), size))
+
+    def walk(self) -> np.ndarray:
+        """The common length of every lane, in the order in which they were added."""
+        first, steps, full = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.first, self.steps, self.full))
+        table = np.frombuffer(b"".join([m.to_bytes(8 * self.words, "little") for m in self.rows]), np.uint64).reshape(-1, self.words)
+        out = np.zeros(len(first), np.int64)
+        for lo in range(0, len(first), LANES):
+            out[lo : lo + LANES] = self._block(table, first[lo : lo + LANES], steps[lo : lo + LANES], full[lo : lo + LANES])
+        return out
+
+    def _block(self, table: np.ndarray, first: np.ndarray, steps: np.ndarray, full: np.ndarray) -> np.ndarray:
+        # the longest lanes first, so that the lanes still walking are always a head of the block
+        order = np.argsort(-steps, kind="stable")
+        first, steps = first[order], steps[order]
+        row = np.full((self.words, len(first)), ~np.uint64(0))
+        walking = len(first)
+        for j in range(int(steps[0]) if len(steps) else 0):
+            while walking and steps[walking - 1] <= j:
+                walking -= int(np.count_nonzero(steps[:walking] == steps[walking - 1]))
+            here = table[first[:walking] + j]
+            carry: np.ndarray | None = None
+            for k in range(self.words):
+                v = row[k, :walking]
+                hit = v & here[:, k]
+                total = v + hit
+                over = total < v
+                if carry is not None:
+                    total = total + carry
+                    over |= total < carry
+                row[k, :walking] = total | (v - hit)
+                carry = over.astype(np.uint64)
+        # a pattern character is common where its bit has been cleared
+        size = full[order]
+        common = np.zeros(len(first), np.int64)
+        for k in range(self.words):
+            bits = np.clip(size - 64 * k, 0, 64)
+            inside = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % 64).astype(np.uint64)) - np.uint64(1))
+            common += np.bitwise_count(~row[k] & inside).astype(np.int64)
+        out = np.empty_like(common)
+        out[order] = common
+        return out
+
+
+def _lanes_for(sizes: list[int]) -> dict[int, Lanes]:
+    return {w: Lanes(w) for w in sorted({max(1, -(-n // 64)) for n in sizes})}
+
+
+def common_lengths(a: Texts, b: Texts) -> np.ndarray:
+    """Length of the longest common subsequence of each pair; the shorter text is the pattern."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    blocks = _lanes_for([len(x) for x, _ in pairs])
+    where: dict[int, list[int]] = {w: [] for w in blocks}
+    for i, (x, y) in enumerate(pairs):
+        w = max(1, -(-len(x) // 64))
+        lanes = blocks[w]
+        lanes.add(len(x), np.array([lanes.put(x, y)]), np.array([len(y)]))
+        where[w].append(i)
+    out = np.zeros(len(pairs), np.int64)
+    for w, lanes in blocks.items():
+        out[where[w]] = lanes.walk()
     return out
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence: one integer holds a row of the table."""
-    if not a or not b:
-        return 0
-    masks, full = _masks(a), (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & masks.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+def _lengths(texts: Texts) -> np.ndarray:
+    return np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def ratio(a: Texts, b: Texts) -> np.ndarray:
+    """SF2: twice the common length over both lengths; two empty texts are equal."""
+    total = _lengths(a) + _lengths(b)
+    return np.where(total == 0, 1.0, 2 * common_lengths(a, b) / np.maximum(total, 1))
+
+
+def token_sort_ratio(a: Texts, b: Texts) -> np.ndarray:
+    """SF3."""
+    order = lambda texts: [" ".join(sorted(t.split())) for t in texts]
+    return ratio(order(a), order(b))
+
+
+def token_set_ratio(a: Texts, b: Texts) -> np.ndarray:
+    """SF4: the best of shared words against shared words plus either rest, and of the two rests behind the shared
+    words; 0 without words on a side, 1 where one side's words are all shared."""
+    n = len(a)
+    rests: list[tuple[str, str]] = []
+    size, fixed = np.zeros(n, np.int64), np.full(n, np.nan)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        left, right = {*x.split()}, {*y.split()}
+        shared = left & right
+        if not left or not right:
+            fixed[i] = 0.0
+        elif shared and (left == shared or right == shared):
+            fixed[i] = 1.0
+        size[i] = sum(map(len, shared)) + max(0, len(shared) - 1)
+        rests.append(("", "") if fixed[i] == fixed[i] else (" ".join(sorted(left - shared)), " ".join(sorted(right - shared))))
+    rest_a, rest_b = [r[0] for r in rests], [r[1] for r in rests]
+    la, lb, gap = _lengths(rest_a), _lengths(rest_b), (size > 0).astype(np.int64)
+    whole_a, whole_b = size + gap + la, size + gap + lb
+    apart = lambda edits, total: 1 - edits / np.maximum(total, 1)
+    best = apart(la + lb - 2 * common_lengths(rest_a, rest_b), whole_a + whole_b)
+    either = np.maximum(apart(gap + la, size + whole_a), apart(gap + lb, size + whole_b))
+    return np.where(np.isnan(fixed), np.where(size > 0, np.maximum(best, either), best), fixed)
+
+
+def partial_ratio(a: Texts, b: Texts) -> np.ndarray:
+    """SF5: best ratio of the shorter text to a window of the longer one; windows may hang over either end. Of two
+    texts of one length each takes a turn as the shorter."""
+    jobs: list[tuple[int, str, str]] = []
+    out = np.zeros(len(a))
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x == y:
+            out[i] = 1.0
+        elif x and y:
+            jobs += [(i, x, y)] if len(x) < len(y) else [(i, y, x)] if len(y) < len(x) else [(i, x, y), (i, y, x)]
+    lo = 0
+    while lo < len(jobs):  # a bounded number of windows at a time
+        hi, windows = lo, 0
+        while hi < len(jobs) and (hi == lo or windows < LANES):
+            windows += len(jobs[hi][1]) + len(jobs[hi][2]) - 1
+            hi += 1
+        blocks = _lanes_for([len(short) for _, short, _ in jobs[lo:hi]])
+        whose: dict[int, list[np.ndarray]] = {w: [] for w in blocks}
+        for i, short, long in jobs[lo:hi]:
+            n, w = len(short), -(-len(short) // 64)
+            at = blocks[w].put(short, long)
+            begin = np.arange(1 - n, len(long))
+            first = np.maximum(begin, 0)
+            blocks[w].add(n, at + first, np.minimum(begin + n, len(long)) - first)
+            whose[w].append(np.full(len(begin), i))
+        for w, lanes in blocks.items():
+            common = lanes.walk()
+            value = 2 * common / (np.concatenate(lanes.full) + np.concatenate(lanes.steps))
+            np.maximum.at(out, np.concatenate(whose[w]), value)
+        lo = hi
+    return out
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Best of: shared words against shared words plus either rest, and the two rests behind the shared words."""
-    left, right = {*a.split()}, {*b.split()}
-    if not left or not right:
-        return 0.0
-    shared = left & right
-    rest_a, rest_b = " ".join(sorted(left - shared)), " ".join(sorted(right - shared))
-    if shared and (not rest_a or not rest_b):
-        return 1.0
-    size = len(" ".join(shared))
-    gap = 1 if size else 0
-    whole_a, whole_b = size + gap + len(rest_a), size + gap + len(rest_b)
-    edits = len(rest_a) + len(rest_b) - 2 * common_length(rest_a, rest_b)
-    best = 1 - edits / (whole_a + whole_b) if whole_a + whole_b else 1.0
-    if size:
-        best = max(best, 1 - (gap + len(rest_a)) / (size + whole_a), 1 - (gap + len(rest_b)) / (size + whole_b))
-    return best
-
-
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text to a window of the longer one; windows may hang over either end."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    pairs = [(a, b)] if len(a) < len(b) else [(b, a)] if len(b) < len(a) else [(a, b), (b, a)]
-    best = 0.0
-    for short, long in pairs:
-        n = len(short)
-        for start in range(1 - n, len(long)):
-            window = long[max(0, start) : start + n]
-            if 2 * min(n, len(window)) > best * (n + len(window)):
-                best = max(best, ratio(short, window))
-                if best == 1.0:
-                    return best
-    return best
-
-
-def jaro_winkler(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
+def _jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
-        return 0.0
+        return float(a == b)
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, from_a = [False] * len(b), []
+    masks: dict[str, int] = {}
+    for j, ch in enumerate(b):
+        masks[ch] = masks.get(ch, 0) | 1 << j
+    free, span, from_a = (1 << len(b)) - 1, (1 << 2 * reach + 1) - 1, []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
-                from_a.append(ch)
-                break
+        near = masks.get(ch, 0) & free & (span << i >> reach)
+        if near:  # the lowest set bit is the first free place in reach
+            free ^= near & -near
+            from_a.append(ch)
     m = len(from_a)
     if not m:
         return 0.0
-    swapped = sum(x != y for x, y in zip(from_a, (c for c, u in zip(b, used, strict=True) if u), strict=True)) // 2
+    swapped = sum(x != y for x, y in zip(from_a, (ch for j, ch in enumerate(b) if not free >> j & 1), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    same = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
+    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def jaro_winkler(a: Texts, b: Texts) -> np.ndarray:
+    """SF6, with at most four common first characters."""
+    return np.fromiter(map(_jaro_winkler, a, b), float, len(a))
+
+
+METRICS: dict[str, Callable[[Texts, Texts], np.ndarray]] = {"ratio": ratio, "tokset": token_set_ratio, "toksort": token_sort_ratio, "partial": partial_ratio, "jw": jaro_winkler}
 
 
-METRICS = {"ratio": ratio, "tokset": token_set_ratio, "toksort": token_sort_ratio, "partial": partial_ratio, "jw": jaro_winkler}
+def over_pairs(kinds: Sequence[str], a: pd.Series, b: pd.Series) -> dict[str, np.ndarray]:
+    """Metrics of two columns, null counting as empty; pairs that repeat in the batch are computed once."""
+    codes, distinct = pd.factorize(pd.MultiIndex.from_arrays([a.fillna(""), b.fillna("")]))
+    x, y = [p[0] for p in distinct], [p[1] for p in distinct]
+    return {k: METRICS[k](x, y)[codes] for k in kinds}
 
 
 def metric(name: str, a: Column, b: Column) -> Column:
     """One of METRICS over two string columns; null counts as empty."""
-    f = METRICS[name]
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([f(s or "", t or "") for s, t in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series(over_pairs([name], x, y)[name])
 
     return run(a, b)
 
@@ -132,7 +241,7 @@ def prefix_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(shared / longer)
 
 
-#: (feature, view of the record, metric): SF1's twenty columns.
+#: Fixed values: (feature, view of the record, metric), SF1's twenty columns in the order that models depend on.
 STRING_FEATURES = (
     ("nm_ratio", "name_core", "ratio"), ("nm_tokset", "name_core", "tokset"), ("nm_toksort", "name_core", "toksort"), ("nm_partial", "name_core", "partial"),
     ("nm_jw", "name_core", "jw"), ("nm_lev", "name_core", "lev"), ("nm_prefix", "name_core", "prefix"), ("nmkey_ratio", "name_key", "ratio"),
@@ -152,8 +261,8 @@ def string_features(columns: dict[str, tuple[Column, Column]]) -> dict[str, Colu
 
     @F.pandas_udf(", ".join(f"{name} double" for name, _, _ in slow))
     def run(*texts: pd.Series) -> pd.DataFrame:
-        sides = {v: (texts[2 * i].fillna(""), texts[2 * i + 1].fillna("")) for i, v in enumerate(views)}
-        return pd.DataFrame({name: [METRICS[kind](s, t) for s, t in zip(*sides[view], strict=True)] for name, view, kind in slow}, dtype="float64")
+        found = {v: over_pairs([kind for _, view, kind in slow if view == v], texts[2 * i], texts[2 * i + 1]) for i, v in enumerate(views)}
+        return pd.DataFrame({name: found[view][kind] for name, view, kind in slow})
 
     block = run(*(c for v in views for c in columns[v]))
     out = {}

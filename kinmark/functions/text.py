@@ -31,12 +31,14 @@ NON_ASCII = "[^\\x00-\\x7f]"
 
 @F.pandas_udf(StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKD", t))
 
 
 def fold(c: Column) -> Column:
-    """TX1: compatibility decomposition without combining marks."""
-    return F.regexp_replace(_decomposed(c), MARKS, "")
+    """TX1: compatibility decomposition without combining marks. Only texts outside ASCII cross to Python with their
+    characters; the others, which decompose to themselves, cross as nulls and never leave the JVM."""
+    other = c.rlike(NON_ASCII)
+    return F.when(other, F.regexp_replace(_decomposed(F.when(other, c)), MARKS, "")).otherwise(c)
 
 
 def _tidy(c: Column) -> Column:
