@@ -56,14 +56,16 @@ def tagged_tokens() -> Column:
 
 
 def vocabulary(records: DataFrame) -> DataFrame:
-    """V1: (country, kind, tok, df, tid). A rank is the place within its frequency plus the number of rarer tokens,
-    so no task sorts a whole country."""
+    """V1: (country, kind, tok, df, tid), ranked by frequency, then token. A rank is the place among the tokens of
+    one frequency and beginning, plus the number of tokens of rarer frequencies or earlier beginnings: a frequency
+    that most tokens have (usually 1) is dealt over as many tasks as it has beginnings."""
     df = records.select("country", F.explode(tagged_tokens()).alias("t")).groupBy("country", "t.kind", "t.tok").agg(F.count("*").alias("df"))
-    levels = df.groupBy("country", "kind", "df").agg(F.count("*").alias("n"))
-    below = Window.partitionBy("country", "kind").orderBy("df").rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.select("country", "kind", "df", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("country", "kind", "df").orderBy("tok")) - 1
-    return df.withColumn("place", within).join(levels, ["country", "kind", "df"]).select("country", "kind", "tok", "df", (F.col("base") + F.col("place")).alias("tid"))
+    df = df.withColumn("start", F.substring("tok", 1, 3))
+    levels = df.groupBy("country", "kind", "df", "start").agg(F.count("*").alias("n"))
+    below = Window.partitionBy("country", "kind").orderBy("df", "start").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select("country", "kind", "df", "start", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("country", "kind", "df", "start").orderBy("tok")) - 1
+    return df.withColumn("place", within).join(levels, ["country", "kind", "df", "start"]).select("country", "kind", "tok", "df", (F.col("base") + F.col("place")).alias("tid"))
 
 
 def rarity_thresholds(vocab: DataFrame, levels: tuple[int, ...] = DF_LEVELS) -> DataFrame:

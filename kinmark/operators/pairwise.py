@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from kinmark.functions.similarity import STRING_FEATURES, VIEWS, string_features
 from kinmark.operators.ranking import CHEAP_FEATURES
 
+# Names and order of the feature columns, which trained models and their files depend on.
 TEXT_COLUMNS = (*VIEWS, "name_nonascii", "addr_nonascii")
 COUNTRY_FEATURES = ("ctry_index_log", "ctry_nonlatin_rate", "ctry_addr_tok_mean")
 DERIVED = (
@@ -36,7 +37,7 @@ def country_descriptors(b_side: DataFrame) -> DataFrame:
 def exact_flags() -> dict[str, Column]:
     """DF1."""
     same = lambda v: F.col(f"a_{v}") == F.col(f"b_{v}")
-    flags = {"nm_exact": same("name_core"), "nmkey_exact": same("name_key"), "nmns_exact": same("name_core_nospace"), "ad_exact": same("addr_norm"), "both_exact": same("name_core") & same("addr_norm")}
+    flags = {"nm_exact": same("name_norm"), "nmkey_exact": same("name_key"), "nmns_exact": same("name_core_nospace"), "ad_exact": same("addr_norm"), "both_exact": same("name_norm") & same("addr_norm")}
     return {k: v.cast("int") for k, v in flags.items()}
 
 
@@ -58,34 +59,37 @@ def interactions(nm: Column, ad: Column) -> dict[str, Column]:
 
 
 def group_features(pairs: DataFrame, score: str, nm: str, ad: str) -> DataFrame:
-    """GF1: each a's candidates seen together; one window, so one shuffle."""
+    """GF1: each a's candidates seen together; one window, so one shuffle. Margins are the value less the best one,
+    so never positive; the gap is the best less the runner-up (0 for a single candidate)."""
     of_a = Window.partitionBy("a_id")
     out = pairs.withColumn("g_rank", F.row_number().over(of_a.orderBy(F.desc(score), "b_id")))
     best, total = F.max(score).over(of_a), F.sum(score).over(of_a)
     second = F.coalesce(F.max(F.when(F.col("g_rank") == 2, F.col(score))).over(of_a), best)
     return out.withColumns(
         {
-            "g_cheap": F.col(score), "g_n_cands": F.count("*").over(of_a), "g_cheap_best": best, "g_cheap_margin": best - F.col(score), "g_cheap_gap2": best - second,
-            "g_cheap_share": F.when(total != 0, F.col(score) / total).otherwise(F.lit(0.0)), "g_nm_best": F.max(nm).over(of_a), "g_nm_margin": F.max(nm).over(of_a) - F.col(nm),
-            "g_ad_best": F.max(ad).over(of_a), "g_ad_margin": F.max(ad).over(of_a) - F.col(ad),
+            "g_cheap": F.col(score), "g_n_cands": F.count("*").over(of_a), "g_cheap_best": best, "g_cheap_margin": F.col(score) - best, "g_cheap_gap2": best - second,
+            "g_cheap_share": F.when(total > 0, F.col(score) / total).otherwise(F.lit(0.0)), "g_nm_best": F.max(nm).over(of_a), "g_nm_margin": F.col(nm) - F.max(nm).over(of_a),
+            "g_ad_best": F.max(ad).over(of_a), "g_ad_margin": F.col(ad) - F.max(ad).over(of_a),
         }
     )
 
 
-def both_side_features(pairs: DataFrame, score: str) -> DataFrame:
-    """GF2: rank, margin and competition around a and around b."""
+def both_side_features(pairs: DataFrame, score: str, nm: str, ad: str) -> DataFrame:
+    """GF2: rank and margin around a, and the competition for b. Margins and relative values are never positive."""
     a, b = Window.partitionBy("a_id"), Window.partitionBy("b_id")
+    less_best = lambda c, w: F.col(c) - F.max(c).over(w)
     return pairs.withColumns(
         {
-            "grp_n_cands": F.count("*").over(a), "grp_rank": F.row_number().over(a.orderBy(F.desc(score), "b_id")), "grp_best_score": F.max(score).over(a), "grp_margin_best": F.max(score).over(a) - F.col(score),
-            "bside_n_competitors": F.count("*").over(b), "bside_rank": F.row_number().over(b.orderBy(F.desc(score), "a_id")), "bside_margin_best": F.max(score).over(b) - F.col(score),
+            "grp_n_cands": F.count("*").over(a), "grp_rank": F.row_number().over(a.orderBy(F.desc(score), "b_id")), "grp_best_score": F.max(score).over(a), "grp_margin_best": less_best(score, a),
+            "grp_nm_rel": less_best(nm, a), "grp_ad_rel": less_best(ad, a), "bside_n_competitors": F.count("*").over(b), "bside_rank": F.row_number().over(b.orderBy(F.desc(score), "a_id")), "bside_margin_best": less_best(score, b),
         }
     )
 
 
 def feature_table(ranked: DataFrame, records: DataFrame, b_side: DataFrame) -> DataFrame:
     """FX1: country, a_id, b_id, then the 85 features in order. ranked: candidates with cheap features and score.
-    The group features take the better of name and address similarity for the name, as the models were built."""
+    The group features' name signal is the better of name and address similarity (``nm_ad_max``), their address
+    signal the token-set ratio of the addresses."""
     full = attach_text(ranked, records).join(country_descriptors(b_side), "country", "left")
     strings = string_features({v: (F.col(f"a_{v}"), F.col(f"b_{v}")) for v in VIEWS})
     full = full.select("*", *(c.alias(k) for k, c in strings.items()))
@@ -95,5 +99,4 @@ def feature_table(ranked: DataFrame, records: DataFrame, b_side: DataFrame) -> D
         "b_addr_empty": (F.length("b_addr_norm") == 0).cast("int"), "b_name_nonlatin": F.col("b_name_nonascii").cast("int"), "b_addr_nonlatin": F.col("b_addr_nonascii").cast("int"),
         "is_s3": F.col("b_id").startswith("S3-").cast("int"),
     } | {c: F.coalesce(c, F.lit(0.0)) for c in COUNTRY_FEATURES}
-    full = full.withColumns(more).withColumn("_ad", ad)
-    return group_features(full, "score", "nm_ad_max", "_ad").select("country", "a_id", "b_id", *FEATURE_NAMES)
+    return group_features(full.withColumns(more), "score", "nm_ad_max", "ad_tokset").select("country", "a_id", "b_id", *FEATURE_NAMES)

@@ -152,12 +152,13 @@ def entities(chosen: str) -> str:
 
 def summary(source: str) -> str:
     rate = lambda x, y, n: f"round(coalesce(({x}) / nullif({y}, 0), 0.0), 9) AS {n}"
-    single = "count(*) FILTER (n_true = 0)"
+    single, many, pred = "count(*) FILTER (n_true = 0)", "count(*) FILTER (n_true > 0)", "sum(n_pred)"
     return "SELECT " + ", ".join(
         [
-            rate("sum(f)", "count(*)", "macro_f05"), rate("sum(n_hit)", "sum(n_pred)", "micro_precision"), rate("sum(n_hit)", "sum(n_true)", "micro_recall"), "count(*) AS n_entities", "CAST(sum(n_true) AS BIGINT) AS n_true",
-            "CAST(sum(n_pred) AS BIGINT) AS n_pred", "CAST(sum(n_hit) AS BIGINT) AS n_hit", f"{single} AS n_singletons", rate("count(*) FILTER (n_true = 0 AND n_pred = 0)", single, "singleton_accuracy"),
-            rate("sum(f) FILTER (n_true > 0)", "count(*) FILTER (n_true > 0)", "macro_f05_matched"), rate("sum(n_pred)", "count(*)", "mean_pred"), rate("sum(n_true)", "count(*)", "mean_true"),
+            "count(*) AS n_entities", "CAST(sum(n_true) AS BIGINT) AS n_true", "CAST(sum(n_pred) AS BIGINT) AS n_pred", "CAST(sum(n_hit) AS BIGINT) AS n_hit", f"{single} AS n_singletons", "CAST(sum(n_pred) - sum(n_hit) AS BIGINT) AS n_false",
+            rate("sum(f)", "count(*)", "macro_f05"), rate("sum(n_hit)", pred, "micro_precision"), rate("sum(n_hit)", "sum(n_true)", "micro_recall"), rate("count(*) FILTER (n_true = 0 AND n_pred = 0)", single, "singleton_accuracy"),
+            rate("count(*) FILTER (n_true = 0 AND n_pred > 0)", single, "singleton_false_merge_rate"), rate("sum(f) FILTER (n_true = 0)", single, "macro_f05_singletons"), rate("sum(f) FILTER (n_true > 0)", many, "macro_f05_matched"),
+            rate("100 * count(*) FILTER (n_true > 0 AND n_pred = 0)", many, "matched_all_missed_percent"), rate("sum(n_pred) - sum(n_hit)", pred, "pair_fp_rate"), rate(pred, "count(*)", "mean_pred"), rate("sum(n_true)", "count(*)", "mean_true"),
             rate("count(*) FILTER (n_pred = 0)", "count(*)", "empty_share"), rate("count(*) FILTER (n_pred = n_true AND n_hit = n_true)", "count(*)", "perfect_share"),
         ]
     ) + f" FROM {source}"

@@ -241,7 +241,7 @@ def _text_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairwise.attach_text(f.survivors, f.forms)
 
 
-query("exact_flags", sql.after("text_pairs", "SELECT a_id, b_id, CAST(a_name_core = b_name_core AS INTEGER) AS nm_exact, CAST(a_name_key = b_name_key AS INTEGER) AS nmkey_exact, CAST(a_name_core_nospace = b_name_core_nospace AS INTEGER) AS nmns_exact, CAST(a_addr_norm = b_addr_norm AS INTEGER) AS ad_exact, CAST(a_name_core = b_name_core AND a_addr_norm = b_addr_norm AS INTEGER) AS both_exact FROM text_pairs"))(
+query("exact_flags", sql.after("text_pairs", "SELECT a_id, b_id, CAST(a_name_norm = b_name_norm AS INTEGER) AS nm_exact, CAST(a_name_key = b_name_key AS INTEGER) AS nmkey_exact, CAST(a_name_core_nospace = b_name_core_nospace AS INTEGER) AS nmns_exact, CAST(a_addr_norm = b_addr_norm AS INTEGER) AS ad_exact, CAST(a_name_norm = b_name_norm AND a_addr_norm = b_addr_norm AS INTEGER) AS both_exact FROM text_pairs"))(
     lambda s, d: _text_pairs(s, d).select("a_id", "b_id", *(c.alias(k) for k, c in pairwise.exact_flags().items()))
 )
 _LENGTHS = ", ".join(f"CAST(length(a_{v}) AS BIGINT) AS {s}_len_a, CAST(length(b_{v}) AS BIGINT) AS {s}_len_b, CAST(abs(length(a_{v}) - length(b_{v})) AS BIGINT) AS {s}_len_diff, round(least(length(a_{v}), length(b_{v})) / greatest(length(a_{v}), length(b_{v}), 1), 9) AS {s}_len_ratio" for s, v in (("nm", "name_core"), ("ad", "addr_norm")))
@@ -264,23 +264,27 @@ query(
     "group_features_a",
     sql.after(
         "pairs",
-        """SELECT a AS a_id, b AS b_id, n AS g_n_cands, CAST(k AS BIGINT) AS g_rank, round(best - p, 9) AS g_cheap_margin, round(best - coalesce(max(CASE WHEN k = 2 THEN p END) OVER (PARTITION BY a), best), 9) AS g_cheap_gap2, round(p / total, 6) AS g_cheap_share, round(max(q) OVER (PARTITION BY a), 9) AS g_ad_best
+        """SELECT a AS a_id, b AS b_id, n AS g_n_cands, CAST(k AS BIGINT) AS g_rank, round(p - best, 9) AS g_cheap_margin, round(best - coalesce(max(CASE WHEN k = 2 THEN p END) OVER (PARTITION BY a), best), 9) AS g_cheap_gap2, round(p / total, 6) AS g_cheap_share, round(max(q) OVER (PARTITION BY a), 9) AS g_ad_best, round(q - max(q) OVER (PARTITION BY a), 9) AS g_ad_margin
         FROM (SELECT a, b, p, q, count(*) OVER w AS n, row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS k, max(p) OVER w AS best, sum(p) OVER w AS total FROM (SELECT *, 1 - p AS q FROM pairs) WINDOW w AS (PARTITION BY a))""",
     ),
 )
 def _(spark, d):
     p = pairs(spark, d).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "p", (1 - F.col("p")).alias("q"))
     out = pairwise.group_features(p, "p", "p", "q")
-    return out.select("a_id", "b_id", "g_n_cands", F.col("g_rank").cast("long").alias("g_rank"), *(F.round(c, n).alias(c) for c, n in (("g_cheap_margin", 9), ("g_cheap_gap2", 9), ("g_cheap_share", 6), ("g_ad_best", 9))))
+    return out.select("a_id", "b_id", "g_n_cands", F.col("g_rank").cast("long").alias("g_rank"), *(F.round(c, n).alias(c) for c, n in (("g_cheap_margin", 9), ("g_cheap_gap2", 9), ("g_cheap_share", 6), ("g_ad_best", 9), ("g_ad_margin", 9))))
+
+
+_AB_REALS = ("grp_best_score", "grp_margin_best", "grp_nm_rel", "grp_ad_rel", "bside_margin_best")
 
 
 @query(
     "group_features_ab",
-    sql.after("pairs", "SELECT a AS a_id, b AS b_id, count(*) OVER x AS grp_n_cands, CAST(row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS BIGINT) AS grp_rank, round(max(p) OVER x - p, 9) AS grp_margin_best, count(*) OVER y AS bside_n_competitors, CAST(row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS BIGINT) AS bside_rank, round(max(p) OVER y - p, 9) AS bside_margin_best FROM pairs WINDOW x AS (PARTITION BY a), y AS (PARTITION BY b)"),
+    sql.after("pairs", "SELECT a AS a_id, b AS b_id, count(*) OVER x AS grp_n_cands, CAST(row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS BIGINT) AS grp_rank, round(max(p) OVER x, 9) AS grp_best_score, round(p - max(p) OVER x, 9) AS grp_margin_best, round(q - max(q) OVER x, 9) AS grp_nm_rel, round(r - max(r) OVER x, 9) AS grp_ad_rel, count(*) OVER y AS bside_n_competitors, CAST(row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS BIGINT) AS bside_rank, round(p - max(p) OVER y, 9) AS bside_margin_best FROM (SELECT *, 1 - p AS q, p * p AS r FROM pairs) WINDOW x AS (PARTITION BY a), y AS (PARTITION BY b)"),
 )
 def _(spark, d):
-    out = pairwise.both_side_features(pairs(spark, d).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "p"), "p")
-    return out.select("a_id", "b_id", "grp_n_cands", F.col("grp_rank").cast("long").alias("grp_rank"), F.round("grp_margin_best", 9).alias("grp_margin_best"), "bside_n_competitors", F.col("bside_rank").cast("long").alias("bside_rank"), F.round("bside_margin_best", 9).alias("bside_margin_best"))
+    p = pairs(spark, d).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "p", (1 - F.col("p")).alias("q"), (F.col("p") * F.col("p")).alias("r"))
+    out = pairwise.both_side_features(p, "p", "q", "r")
+    return out.select("a_id", "b_id", "grp_n_cands", F.col("grp_rank").cast("long").alias("grp_rank"), "bside_n_competitors", F.col("bside_rank").cast("long").alias("bside_rank"), *(F.round(c, 9).alias(c) for c in _AB_REALS))
 
 
 query("feature_matrix")(lambda s, d: funnel(s, d).features)
@@ -360,10 +364,10 @@ def _(spark, d):
 
 @query(
     "entity_score_shape",
-    sql.after("pairs", "SELECT o_orderkey AS a, coalesce(n, 0) AS n, coalesce(best, 0.0) AS best, coalesce(second, 0.0) AS second, round(coalesce(best, 0.0) - coalesce(second, 0.0), 9) AS gap, round(coalesce(total, 0.0), 6) AS total, coalesce(over_half, 0) AS over_half, coalesce(over_nine, 0) AS over_nine FROM orders LEFT JOIN (SELECT a, count(*) AS n, max(p) AS best, max(p) FILTER (k = 2) AS second, sum(p) AS total, count(*) FILTER (p > 0.5) AS over_half, count(*) FILTER (p > 0.9) AS over_nine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS k FROM pairs) GROUP BY a) ON a = o_orderkey"),
+    sql.after("pairs", "SELECT o_orderkey AS a, coalesce(n, 0) AS n, coalesce(best, 0.0) AS best, coalesce(second, 0.0) AS second, round(coalesce(best - second, 0.0), 9) AS gap, round(coalesce(total, 0.0), 6) AS total, coalesce(over_half, 0) AS over_half, coalesce(over_nine, 0) AS over_nine, coalesce(best_cheap, 0.0) AS best_cheap FROM orders LEFT JOIN (SELECT a, count(*) AS n, max(p) AS best, list_min(list_sort(list(p), 'DESC')[1:2]) AS second, sum(p) AS total, count(*) FILTER (p > 0.5) AS over_half, count(*) FILTER (p > 0.9) AS over_nine, max(p * p) AS best_cheap FROM pairs GROUP BY a) ON a = o_orderkey"),
 )
 def _(spark, d):
-    return decisions.score_shape(pairs(spark, d), read(spark, d, "orders").select(F.col("o_orderkey").alias("a")))
+    return decisions.score_shape(pairs(spark, d).withColumn("cheap", F.col("p") * F.col("p")), read(spark, d, "orders").select(F.col("o_orderkey").alias("a")))
 
 
 query("auc_signal", sql.after("pairs", "SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum(pos * (below + neg / 2)) / (sum(pos)::DOUBLE * sum(neg)), 9) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM pairs GROUP BY p))"))(
@@ -396,7 +400,7 @@ def _(spark, d):
     return m.join(c, "source1_entity_id")
 
 
-_AUDIT = "matches_cover_scope candidates_cover_scope matches_within_scope no_repeated_match_rows no_repeated_candidate_rows no_repeated_ids_in_a_list only_other_sources matched_ids_exist matches_are_candidates".split()
+_AUDIT = "matches_cover_scope candidates_cover_scope matches_within_scope no_repeated_match_rows no_repeated_candidate_rows no_repeated_ids_in_a_list only_other_sources matched_ids_exist matches_are_candidates match_headers candidate_headers".split()
 
 
 @query("audit_checks", sql.after("pairs", "SELECT unnest([" + ", ".join(f"'{c}'" for c in _AUDIT) + "]) AS check_name, true AS ok, 0::BIGINT AS detail UNION ALL SELECT 'has_matches', count(*) > 0, count(*) FROM l WHERE matched_entity_ids <> '' UNION ALL SELECT 'has_candidates', count(*) > 0, count(*) FROM l WHERE candidate_entity_ids <> ''", n=_IDS_OF, l=_LISTS))
@@ -405,6 +409,25 @@ def _(spark, d):
     return reports.audit(m, c, scope, named.select("b"))
 
 
+def _entity_countries(spark: SparkSession, d: str) -> DataFrame:
+    """An order's priority stands for its country."""
+    return read(spark, d, "orders").select(F.concat(F.lit("S1-"), "o_orderkey").alias("source1_entity_id"), F.col("o_orderpriority").alias("country"))
+
+
+_COUNTED = "SELECT o_orderpriority AS country, len(ids) AS n, len(list_filter(ids, lambda x: starts_with(x, 'S2-'))) AS s2, len(list_filter(ids, lambda x: starts_with(x, 'S3-'))) AS s3 FROM (SELECT source1_entity_id, CASE WHEN matched_entity_ids = '' THEN [] ELSE string_split(matched_entity_ids, ',') END AS ids FROM l) JOIN orders ON 'S1-' || o_orderkey = source1_entity_id"
+query(
+    "country_distribution",
+    sql.after("pairs", "SELECT country, count(*) AS n_entities, round(avg(n), 9) AS mean_matches, " + ", ".join(f"round(avg(CASE WHEN n = {k} THEN 1.0 ELSE 0.0 END), 9) AS share_{k}" for k in range(5)) + f", round(avg(CASE WHEN n >= 5 THEN 1.0 ELSE 0.0 END), 9) AS share_5_up FROM ({_COUNTED}) GROUP BY country", n=_IDS_OF, l=_LISTS),
+)(lambda s, d: reports.country_distribution(_submission(s, d)[0], _entity_countries(s, d)))
+query(
+    "profile_truth_countries",
+    sql.after(
+        "pairs",
+        f"SELECT country, count(*) AS n_entities, count(*) FILTER (n = 0) AS n_singletons, round(100 * count(*) FILTER (n = 0) / count(*), 9) AS singleton_percent, round(avg(n), 9) AS mean_matches, coalesce(round(avg(n) FILTER (n > 0), 9), 0.0) AS mean_matched, CAST(sum(n) AS BIGINT) AS n_matches, CAST(sum(s2) AS BIGINT) AS n_s2, CAST(sum(s3) AS BIGINT) AS n_s3 FROM ({_COUNTED}) GROUP BY country",
+        n=_IDS_OF, l=_LISTS,
+    ),
+)(lambda s, d: reports.profile_truth_countries(_submission(s, d)[0], _entity_countries(s, d)))
+query("profile_countries", sql.after("rec", "SELECT src, country, count(*) AS n_rows FROM rec GROUP BY ALL"))(lambda s, d: reports.profile_countries(docs_records(s, d)))
 query("match_distribution", sql.after("pairs", "SELECT CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END AS n_matches, count(*) AS n FROM l GROUP BY ALL", n=_IDS_OF, l=_LISTS))(lambda s, d: reports.match_distribution(_submission(s, d)[0]))
 query(
     "profile_truth",
@@ -420,7 +443,7 @@ query(
     "profile_source",
     sql.after(
         "rec",
-        """SELECT src, count(*) AS n_rows, count(DISTINCT entity_id) AS n_ids, min(split_part(entity_id, '-', 2)::BIGINT) AS min_id, max(split_part(entity_id, '-', 2)::BIGINT) AS max_id, count(DISTINCT country) AS n_countries,
+        """SELECT src, count(*) AS n_rows, count(DISTINCT entity_id) AS n_ids, count(*) - count(DISTINCT entity_id) AS n_repeated_ids, count(*) - count(DISTINCT business_name) AS n_repeated_names, count(*) - count(DISTINCT business_address) AS n_repeated_addresses, round(avg(CASE WHEN regexp_matches(business_name, '[0-9]') THEN 1.0 ELSE 0.0 END), 9) AS name_digit_share, min(split_part(entity_id, '-', 2)::BIGINT) AS min_id, max(split_part(entity_id, '-', 2)::BIGINT) AS max_id, count(DISTINCT country) AS n_countries,
         round(avg(CASE WHEN trim(business_name) = '' THEN 1.0 ELSE 0.0 END), 9) AS name_missing, round(avg(CASE WHEN trim(business_address) = '' THEN 1.0 ELSE 0.0 END), 9) AS addr_missing, count(DISTINCT (business_name, business_address)) AS n_distinct_pairs,
         CAST(quantile_disc(length(business_name), 0.5) AS BIGINT) AS name_len_median, CAST(quantile_disc(length(business_name), 0.95) AS BIGINT) AS name_len_p95, CAST(quantile_disc(length(business_address), 0.5) AS BIGINT) AS addr_len_median, CAST(quantile_disc(length(business_address), 0.95) AS BIGINT) AS addr_len_p95,
         round(avg(CASE WHEN regexp_matches(business_address, '[0-9]') THEN 1.0 ELSE 0.0 END), 9) AS addr_digit_share, round(avg(CASE WHEN regexp_matches(business_name, '[^\\x00-\\x7f]') THEN 1.0 ELSE 0.0 END), 9) AS name_nonascii_share FROM rec GROUP BY src""",

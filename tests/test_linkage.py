@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kinmark.operators import blocking, decisions, models, ranking, reports
+from kinmark.operators import blocking, decisions, models, pairwise, ranking, reports
 from kinmark.operators.blocking import BlockConfig
 from kinmark.operators.decisions import DecisionConfig
 from kinmark.plans import queries as plans
@@ -80,6 +80,66 @@ def test_rules_and_ties(spark):
     assert best >= max(sweep.values()) and len(log) == 86
 
 
+def test_tuner_takes_the_best_of_each_stage_in_turn(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(a, b, round(r.random(), 2), int(r.random() < 0.4), r.randint(0, 1)) for a in range(40) for b in r.sample(range(60), r.randint(0, 12))]
+    p = spark.createDataFrame(rows, "a long, b long, p double, y int, is_s3 int")
+    need = spark.createDataFrame([(a, sum(x[3] for x in rows if x[0] == a)) for a in range(45)], "a long, n_true long")
+    cfg, best, log = decisions.tune(p, need)
+    score = lambda c: decisions.score_labelled(decisions.decide(p, c), need).first()["macro_f05"]
+    assert score(cfg) == best == max(f for _, _, f in log)
+    for stage, c, f in log[::9]:
+        assert score(c) == f, stage
+
+
+def test_margins_are_never_positive_and_flags_use_the_normalised_name(spark):
+    p = spark.createDataFrame([("a1", "b1", 3.0, 0.9, 0.2), ("a1", "b2", 1.0, 0.4, 0.8), ("a2", "b1", 2.0, 0.5, 0.5)], "a_id string, b_id string, s double, nm double, ad double")
+    g = {(r["a_id"], r["b_id"]): r for r in pairwise.group_features(p, "s", "nm", "ad").collect()}
+    x, lone = g["a1", "b2"], g["a2", "b1"]
+    assert (x["g_cheap_margin"], x["g_cheap_gap2"], x["g_nm_margin"], x["g_ad_margin"], x["g_cheap_share"]) == (-2.0, 2.0, -0.5, 0.0, 0.25)
+    assert (lone["g_cheap_margin"], lone["g_cheap_gap2"], lone["g_rank"]) == (0.0, 0.0, 1)
+    both = {(r["a_id"], r["b_id"]): r for r in pairwise.both_side_features(p, "s", "nm", "ad").collect()}
+    x = both["a2", "b1"]
+    assert (x["bside_margin_best"], x["bside_rank"], x["bside_n_competitors"], x["grp_margin_best"]) == (-1.0, 2, 2, 0.0)
+    assert both["a1", "b2"]["grp_nm_rel"] == -0.5 and both["a1", "b1"]["grp_ad_rel"] == pytest.approx(-0.6)
+    views = {v: "same" for side in "ab" for v in (f"{side}_name_core", f"{side}_name_key", f"{side}_name_core_nospace", f"{side}_addr_norm")}
+    row = spark.createDataFrame([(*views.values(), "same ltd", "same")], ", ".join(f"{v} string" for v in (*views, "a_name_norm", "b_name_norm")))
+    flags = row.select(*(c.alias(k) for k, c in pairwise.exact_flags().items())).first()
+    assert (flags["nm_exact"], flags["nmkey_exact"], flags["ad_exact"], flags["both_exact"]) == (0, 1, 1, 0)
+
+
+def test_score_shape_and_auc(spark):
+    p = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.7, 0), (2, 1, 0.6, 1), (2, 3, None, 0)], "a long, b long, p double, y int")
+    scope = spark.createDataFrame([(1,), (2,), (3,)], "a long")
+    shape = {r["a"]: r for r in decisions.score_shape(p.where("p is not null"), scope).collect()}
+    assert (shape[1]["gap"], shape[2]["second"], shape[2]["gap"], shape[3]["n"], shape[3]["best_cheap"]) == (pytest.approx(0.2), 0.6, 0.0, 0, 0.0)
+    assert decisions.auc(p, "p", "y").first()["auc"] == 0.5
+    assert decisions.auc(p.limit(0), "p", "y").first()["auc"] is None
+    many = spark.range(5000).select((F.col("id") * 7919 % 1000).alias("s"), (F.col("id") * 7919 % 1000 * 31 % 100 < F.col("id") * 7919 % 1000 / 10).cast("int").alias("y")).cache()
+    rows = many.groupBy("s").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg")).orderBy("s").collect()
+    wins, below = 0.0, 0
+    for r in rows:
+        wins, below = wins + r["pos"] * (below + r["neg"] / 2), below + r["neg"]
+    assert decisions.auc(many, "s", "y", ranges=7).first()["auc"] == pytest.approx(wins / (sum(r["pos"] for r in rows) * below), abs=1e-9)
+
+
+def test_vocabulary_ranks(spark):
+    import random
+
+    r = random.Random(9)
+    words = ["".join(r.choices("abcé0", k=r.randint(1, 5))) for _ in range(200)]
+    rows = [(i, "xy"[i % 2], r.sample(words, 6), [], []) for i in range(60)]
+    df = spark.createDataFrame(rows, "entity_id int, country string, name_toks array<string>, addr_toks array<string>, addr_nums array<string>")
+    got = {}
+    for v in blocking.vocabulary(df).collect():
+        got.setdefault((v["country"], v["kind"]), []).append((v["tid"], v["df"], v["tok"]))
+    for ranks in got.values():
+        assert [t for t, _, _ in sorted(ranks)] == list(range(len(ranks)))
+        assert [(n, w) for _, n, w in sorted(ranks)] == sorted(((n, w) for _, n, w in ranks), key=lambda x: (x[0], x[1].encode()))
+
+
 def test_folds_and_samples(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("k"))
     folds = df.select(decisions.fold_of(F.col("k")).alias("f")).groupBy("f").count().collect()
@@ -94,7 +154,7 @@ def test_tsv_round_trip_and_publication(spark, tmp_path, records):
     r = src.read_tsv(spark, path, src.RECORD).first()
     assert r["business_name"] == 'A "quoted" name' and r["business_address"] == ""
     checks = run(spark, records, str(tmp_path / "out")).collect()
-    assert all(c["ok"] for c in checks) and len(checks) == 11
+    assert all(c["ok"] for c in checks) and len(checks) == 13
     back = src.read_tsv(spark, str(tmp_path / "out/matching_results"), src.TRUTH)
     assert back.where("source1_entity_id = 'S1-1'").first()["matched_entity_ids"] == "S2-1,S3-1"
     prepared = records.select(F.lit("train").alias("split"), F.col("src").alias("source"), "country", "entity_id")
