@@ -6,8 +6,9 @@ place of the same document). The corpus is never put into one array:
 1. Every window of ``length`` bytes names one anchor: the rightmost smallest hash among the ``GRAM``-byte strings
    inside it. Equal windows name equal anchors at equal offsets, so they can only meet where anchors agree, and an
    anchor whose hash occurs once needs no further work.
-2. The bytes around each repeated anchor, with the windows that name it, form a context. Contexts of one anchor
-   hash meet in a group; equal ones collapse to the earliest. A hash with very many occurrences is split by the
+2. The bytes around each repeated anchor, with the windows that name it, form a context. Where the digests of all
+   contexts of a hash are equal, the earliest stays without its bytes being read again; else contexts of one anchor
+   hash meet in a group, and equal ones collapse to the earliest. A hash with very many occurrences is split by the
    windows' offsets and by the bytes that all of them cover, finer the more occurrences it has, so that no group
    grows with the corpus.
 3. Different contexts of a group go into a suffix array (Lyndon-prefix grouping) over cells of ``CELL`` bytes that
@@ -94,7 +95,8 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """h, id, q: the anchors of all texts; q packs place, largest and smallest offset."""
+    """h, id, q, d: the anchors of all texts; q packs place, largest and smallest offset, d is a digest of the
+    context and its offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,10 +104,14 @@ def anchors(docs: DataFrame) -> DataFrame:
             texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(1).to_pylist()]
             for lo, some in _blocks(texts):
                 starts = np.cumsum([0, *map(len, some[:-1])])
-                d, p, a, b, h = _anchors(np.frombuffer(b"".join(some), np.uint8), starts)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[lo + d].astype(np.int64)), pa.array((p << 16) | (a << 8) | b)], names=["h", "id", "q"])
+                raw = b"".join(some)
+                d, p, a, b, h = _anchors(np.frombuffer(raw, np.uint8), starts)
+                at, offsets = starts[d] + p, (a << 8) | b
+                spans = zip((at - a).tolist(), (at - b + LENGTH).tolist(), offsets.tolist(), strict=True)
+                digests = np.array([xxhash.xxh3_64_intdigest(raw[x:y], o) for x, y, o in spans], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[lo + d].astype(np.int64)), pa.array((p << 16) | offsets), pa.array(digests)], names=["h", "id", "q", "d"])
 
-    return docs.where("id is not null").mapInArrow(run, "h long, id long, q long")
+    return docs.where("id is not null").mapInArrow(run, "h long, id long, q long, d long")
 
 
 def _split_of(count: int) -> int:
@@ -132,10 +138,17 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for i, text, spots in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if len(met) >= CONTEXTS_KEPT:
+                met.clear()
             data = (text or "").encode("utf-8", "surrogatepass")
             for spot in sorted(spots, key=lambda x: x["q"]):
                 q, h = spot["q"], spot["h"]
                 p, a, b = q >> 16, (q >> 8) & 255, q & 255
+                if not spot["n"]:  # all contexts of the hash are equal: no bytes needed
+                    if (h,) not in met:
+                        met.add((h,))
+                        out.append((h, a, b, b"", i, p))
+                    continue
                 width = _split_of(spot["n"])
                 parts = [(h, a, b)]
                 if width < SPAN:
@@ -298,10 +311,12 @@ def removed_spans(n: int, repeats: list[int], firsts: list[int]) -> tuple[np.nda
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """id, spots: each document's anchors whose hash occurs more than once, with the number of occurrences."""
+    """id, spots: each document's anchors whose hash occurs more than once, with the number of occurrences, or 0
+    where all their contexts are equal."""
     found = anchors(docs)
-    counts = found.groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 1")
-    return found.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "q", "n")).alias("spots"))
+    counts = found.groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("n > 1")
+    counts = counts.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("n"))
+    return found.select("h", "id", "q").join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "q", "n")).alias("spots"))
 
 
 def cut_repeats(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
