@@ -3,20 +3,24 @@
 1. Every text becomes the set of its 5-word shingles (64-bit hashes) and a MinHash signature; equal sets are
    collapsed to the one with the smallest id before anything else.
 2. The forest: each tree is one order of the signatures, its own hash values compared in turn. All trees are
-   sorted at once by range (so no region, however frequent its prefix, meets in one task), and each signature is
-   held against its next ``NEIGHBOURS`` in the order while they share a prefix. How deep a shared prefix is
-   follows from the region: among many alike, neighbours agree on many values, elsewhere on one. Neighbours whose
-   short sketches do not rule the similarity out are candidates.
-3. Candidates are grouped into clusters; a cluster's sets are brought together once, in blocks of bounded size,
-   and links are confirmed exactly with integers: the candidates first, then all pairs of the block that are not
-   connected and share one of their rarest shingles, so that no link inside a block depends on luck. Candidates across the blocks of a large cluster are confirmed in
-   rounds: each component tests its most alike partners first, and pairs that are connected meanwhile drop out.
-   Then every set of a large cluster outside its largest component meets all sets of the cluster: buckets of
-   bounded size, two by two, with the same completion as inside a block. So no link inside a cluster depends on luck.
-4. Components of the confirmed links give each document the smallest id that it reaches.
-
-The sketch test lies five standard deviations below the similarity asked for; with ``TREES`` orders a pair at the
-threshold is missed about once in a million. No candidate is dropped for its number.
+   sorted at once by range (so no region, however frequent its prefix, meets in one task). The longest common prefix
+   of two rows is the least of the neighbours' between them, so a row is held against the rows after it while they
+   share a value, up to ``REGION`` of them. The depth follows the region: one of at most ``REGION`` rows is covered
+   whole at depth one; in a larger one the rows with the longest common prefixes come first, and the depth is the
+   one at which the region fits. Pairs whose short sketches do not rule the similarity out are candidates, except
+   those that a chain of neighbours connects already: they are in one cluster anyhow.
+3. Candidates are grouped into clusters. A cluster's sets are brought together once, in blocks of bounded size, and
+   links are confirmed exactly with integers: the candidates first, then all pairs of the block that are not
+   connected and share one of their rarest shingles. Candidates across the blocks of a large cluster are confirmed
+   in rounds: each component tests its most alike partners first, and pairs connected meanwhile drop out.
+4. What a cluster of several blocks still lacks has an end outside its largest component. Those sets are joined with
+   all sets of the cluster on their rarest shingles (the necessary prefix, with the length bound) and verified on
+   whole sets. So no link inside a cluster, of whatever size, depends on luck.
+5. Components of the confirmed links give each document the smallest id that it reaches.
+
+A link is missed only if its ends are in different clusters. The sketch test lies five standard deviations below the
+similarity asked for; in regions that the window covers a pair at the threshold shares a first value in one of
+``TREES`` orders but for about one in 10^12. No candidate is dropped for its number.
 
 Defined results: null and empty texts have the empty set and are linked with nothing. A text of fewer than five
 words is one shingle. Rows with a null id are not linked: they keep a null component and are kept. Rows that
@@ -39,9 +43,11 @@ from pyspark.sql.window import Window
 from kinmark.llm._common import arrow_limits, stored
 from kinmark.llm.components import Forest, components
 
-TREES, DEPTH, SKETCH, NEIGHBOURS = 20, 6, 64, 4
+TREES, DEPTH, SKETCH, REGION = 20, 6, 64, 32
 #: A cluster is confirmed in one block up to so many shingles (8 bytes each), beyond in blocks of so many texts.
 SMALL_CLUSTER, BLOCK = 4_000_000, 128
+#: Partners that each component tests in a round across blocks; whatever is left then is found by ``completed``.
+ROUNDS = (1, 1, 4)
 #: Up to so many ids (8 bytes each) choose the texts that are shuffled by a broadcast; beyond, all texts are.
 FEW_IDS = 1_000_000
 WORDS_KEPT = 300_000
@@ -144,22 +150,29 @@ def _neighbours(percent: int, edges_only: bool):
     def pairs(tree, key, ids, sketch, part, fresh):
         """Pairs whose later row is not one of the carried rows, as (a, b, est)."""
         n = len(ids)
-        good = {}
-        for w in range(1, NEIGHBOURS + 1):
-            if n <= w:
-                break
-            near = (tree[w:] == tree[:-w]) & (key[w:, :4] == key[:-w, :4]).all(axis=1)
+        values = key.view(">u4")
+        alike = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+        lcp = np.where(alike.all(axis=1), DEPTH, alike.argmin(axis=1))  # of each row and the next one
+        shared, out = lcp, []
+        chain = np.arange(n)  # rows that candidates at distance one connect have one number
+        for w in range(1, min(REGION, n - 1) + 1):
+            shared = lcp if w == 1 else np.minimum(shared[:-1], lcp[w - 1 :])
+            at = np.flatnonzero(shared)
+            if not len(at):
+                break  # every region is covered
+            if w > 1:
+                at = at[chain[at] != chain[at + w]]
             if edges_only:
-                near &= part[w:] != part[:-w]
-            est = np.zeros(n - w)
-            at = np.flatnonzero(near)
-            est[at] = (sketch[at] == sketch[at + w]).mean(axis=1)
-            good[w] = np.where(near & (est >= least), est, -1.0)
-        out = []
-        for w, est in good.items():
-            take = np.flatnonzero(est >= 0)
-            take = take[take + w >= fresh]
-            out.append((np.minimum(ids[take], ids[take + w]), np.maximum(ids[take], ids[take + w]), est[take]))
+                at = at[part[at + w] != part[at]]
+            est = (sketch[at] == sketch[at + w]).mean(axis=1)
+            at, est = at[est >= least], est[est >= least]
+            if w == 1:
+                joined = np.zeros(n, bool)
+                joined[at + 1] = True
+                chain = np.cumsum(~joined)
+            new = at + w >= fresh
+            at, est = at[new], est[new]
+            out.append((np.minimum(ids[at], ids[at + w]), np.maximum(ids[at], ids[at + w]), est))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +195,14 @@ def _neighbours(percent: int, edges_only: bool):
             part = batch.column(4).to_numpy() if edges_only else np.zeros(n, np.int32)
             now = [batch.column(0).to_numpy(), fixed(1, DEPTH * 4), batch.column(2).to_numpy(), fixed(3, SKETCH), part]
             if not edges_only and not seen:
-                yield rows(1, now[2][:NEIGHBOURS], None, None, now[0][:NEIGHBOURS], now[1][:NEIGHBOURS], now[3][:NEIGHBOURS])
+                yield rows(1, now[2][:REGION], None, None, now[0][:REGION], now[1][:REGION], now[3][:REGION])
             if not edges_only and (first := np.flatnonzero(now[0] == 0)).size:
                 yield rows(2, now[2][first], None, None, pos=seen + first)
             seen += n
             fresh = len(carried[2]) if carried else 0
             joined = [np.concatenate(x) for x in zip(carried, now, strict=True)] if carried else now
             yield rows(0, *pairs(*joined, fresh))
-            carried = [x[-NEIGHBOURS:] for x in joined]
+            carried = [x[-REGION:] for x in joined]
         if carried and not edges_only:
             yield rows(1, carried[2], None, None, carried[0], carried[1], carried[3])
 
@@ -203,7 +216,7 @@ def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(width, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     found = stored(ordered.mapInArrow(_neighbours(percent, False), _FOUND), "forest")
-    # the ends of the parts: 2 * NEIGHBOURS rows of each, a number that follows the parts and not the rows
+    # the ends of the parts: 2 * REGION rows of each, a number that follows the parts and not the rows
     ends = found.where("kind = 1").select("tree", "key", F.col("a").alias("id"), "sketch", "part").distinct().coalesce(1).sortWithinPartitions("tree", "key", "id")
     across = ends.mapInArrow(_neighbours(percent, True), _FOUND).where("kind = 0")
     pairs = found.where("kind = 0").select("a", "b", "est").union(across.select("a", "b", "est"))
@@ -212,24 +225,18 @@ def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _confirm(width: int, percent: int):
-    """Rows (block, id, set, partners), sorted by block: the confirmed links that connect what a block can. Two more
-    columns may follow: the component that the id is known to be in, and its side of the block (ids of one side are
-    not held against each other; null: against all)."""
+    """Rows (block, id, set, partners), sorted by block: the confirmed links that connect what a block can."""
 
-    def settle(rows: list[tuple[int, np.ndarray, list[int], int | None, int | None]]) -> list[tuple[int, int]]:
-        sets, sides = {r[0]: r[1] for r in rows}, {r[0]: r[4] for r in rows}
+    def settle(rows: list[tuple[int, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
+        sets = {r[0]: r[1] for r in rows}
         forest, links = Forest(), []
-        firsts: dict[int, int] = {}
-        for i, _, _, known, _ in rows:
-            if known is not None:
-                forest.join(firsts.setdefault(known, i), i)
 
         def test(a: int, b: int) -> None:
             if forest.root(a) != forest.root(b) and similar(sets[a], sets[b], percent):
                 forest.join(a, b)
                 links.append((a, b))
 
-        for a, _, partners, _, _ in rows:
+        for a, _, partners in rows:
             for b in partners:
                 if b in sets:
                     test(a, b)
@@ -254,42 +261,42 @@ def _confirm(width: int, percent: int):
         for i in sorted(sets):
             near = {j for x in prefix[i] for j in index.get(x, ())}
             for j in sorted(near):
-                if sides[i] is not None and sides[i] == sides[j]:
-                    continue  # they meet in the block of their own bucket
                 if 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])):
                     test(i, j)
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, list[int], int | None, int | None]] = []
+        held: list[tuple[int, np.ndarray, list[int]]] = []
         now = None
         links: list[tuple[int, int]] = []
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            columns += [[None] * batch.num_rows] * (6 - len(columns))
-            for block, i, packed, partners, known, side in zip(*columns, strict=True):
+            for block, i, packed, partners in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if block != now:
                     links += settle(held)
                     held, now = [], block
-                held.append((i, np.frombuffer(packed, dtype=np.uint64), partners or [], known, side))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+                held.append((i, np.frombuffer(packed, dtype=np.uint64), partners or []))
+            yield emit()
             links = []
         links = settle(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+        yield emit()
 
     return run
 
 
-def _sets(width: int):
-    """(block, id, text, partners) to (block, id, packed set, partners)."""
+def _sets(width: int, listed: bool = False):
+    """(block, id, text, partners) to (block, id, packed set, partners), or to (id, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                packed = [cut(t or "").tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), part.column(3)], names=["block", "id", "set", "partners"])
+                sets = [cut(t or "") for t in part.column(2).to_pylist()]
+                if listed:
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), part.column(3)], names=["block", "id", "set", "partners"])
 
     return run
 
@@ -308,30 +315,33 @@ def confirmed(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> D
 def completed(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame:
     """members: (id, cluster, n). The links (a, b) between sets of a cluster that ``roots`` does not connect.
 
-    A link that is still missing has an end outside the cluster's largest component. The sets outside and those
-    inside are dealt to buckets of half a block; each outer bucket meets every bucket of the cluster."""
-    half = max(1, SMALL_CLUSTER // 2)
-    known = members.join(roots, "id", "left").select("id", "cluster", "n", F.coalesce("root", "id").alias("known"))
-    known = stored(known, "known")
+    A link that is still missing has an end outside the cluster's largest component. With a cluster's shingles ordered
+    by rarity, two similar sets share one of the first n - ceil(n * percent / 100) + 1 shingles of either; so the
+    prefixes of the sets outside are joined with those of all sets of the cluster (an equi-join, whose frequent keys
+    adaptive execution splits), and pairs of fitting sizes are verified on whole sets."""
+    known = stored(members.join(roots, "id", "left").select("id", "cluster", "n", F.coalesce("root", "id").alias("known")), "known")
     counts = known.groupBy("cluster", "known").agg(F.count("*").alias("c"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("c", (-F.col("known")).alias("k"))).alias("m")).select("cluster", (-F.col("m.k")).alias("main"))
-    known = known.join(main, "cluster").withColumn("outer", F.col("known") != F.col("main"))
-    buckets = lambda outer: F.ceil(F.coalesce(F.sum(F.when(F.col("outer") == outer, F.col("n"))), F.lit(0)) / half)
-    numbers = known.groupBy("cluster").agg(buckets(True).alias("outers"), buckets(False).alias("inners")).where("outers > 0")
-    dealt = F.xxhash64("id")
-    known = known.join(numbers, "cluster").withColumn("k", F.when(F.col("outer"), F.pmod(dealt, F.col("outers"))).otherwise(F.col("outers") + F.pmod(dealt, F.col("inners"))))
-    last = F.when(F.col("outer"), F.col("outers") + F.col("inners")).otherwise(F.col("outers")) - 1
-    met = known.select("id", "known", "cluster", "k", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("j"))
-    block = F.concat_ws("-", F.lit("g"), "cluster", F.least("k", "j"), F.greatest("k", "j"))
-    side = F.when(F.col("k") != F.col("j"), (F.col("k") > F.col("j")).cast("int"))
-    met = met.select("id", block.alias("block"), "known", side.alias("side"))
-    # each text is cut once, whatever the number of its blocks
+    main = counts.groupBy("cluster").agg(F.max(F.struct("c", (-F.col("known")).alias("k"))).alias("m"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("cluster", (-F.col("m.k")).alias("main"))
+    known = known.join(main, "cluster").select("id", "cluster", "n", "known", (F.col("known") != F.col("main")).alias("outer"))
     ids = known.select("id", F.lit("").alias("block"), F.lit(None).cast("array<long>").alias("partners"))
-    sets = ids.join(docs, "id").select("block", "id", "text", "partners").mapInArrow(_sets(width), "block string, id long, set binary, partners array<long>")
-    sets = stored(sets.select("id", "set", "partners").dropDuplicates(["id"]), "whole")
-    rows = met.join(sets, "id").select("block", "id", "set", "partners", "known", "side")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "block").sortWithinPartitions("block", "id").mapInArrow(_confirm(width, percent), "a long, b long")
+    texts = ids.join(docs, "id").select("block", "id", "text", "partners").dropDuplicates(["id"])
+    sets = stored(known.join(texts.mapInArrow(_sets(width, listed=True), "id long, shingles array<long>"), "id"), "whole")
+    each = sets.select("id", "cluster", F.explode("shingles").alias("x"))
+    rarity = each.groupBy("cluster", "x").agg(F.count("*").alias("f"))
+    ordered = each.join(rarity, ["cluster", "x"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
+    n = F.size("o")
+    prefix = ordered.select("id", F.slice("o", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")).alias("o"))
+    prefix = stored(prefix.join(known, "id").select("id", "cluster", "n", "known", "outer", F.explode("o").alias("o")).where("o.f > 1").select("*", "o.x").drop("o"), "prefixes")
+    side = lambda p: prefix.select("cluster", "x", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "known", "outer")))
+    fits = (F.col("a_known") != F.col("b_known")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    once = ~F.col("b_outer") | (F.col("a_id") < F.col("b_id"))  # two sets outside meet from both sides
+    pairs = side("a").where("a_outer").join(side("b"), ["cluster", "x"]).where(fits & once).select("a_id", "b_id").distinct()
+    whole = lambda p: sets.select(F.col("id").alias(f"{p}_id"), F.col("shingles").alias(p))
+    both = pairs.join(whole("a"), "a_id").join(whole("b"), "b_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    linked = both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared))
+    return linked.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75, width: int = 5) -> DataFrame:
@@ -361,18 +371,15 @@ def near_components(df: DataFrame, id_col: str, text_col: str, percent: int = 75
     links = stored(confirmed(texts, wanted, width, percent), "confirmed")
     roots = stored(components(links), "roots")
     left = placed.where("block_a <> block_b").select("a", "b", "est")
-    for most in () if left.isEmpty() else (1, 1, 4, 16, None):
+    for most in () if left.isEmpty() else ROUNDS:
         ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         left = left.join(ra, "a", "left").join(rb, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
         left = stored(left, "left")
         if left.isEmpty():
             break
-        if most is None:
-            tested = left
-        else:
-            ranks = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("est"), "a", "b")) for c in ("ra", "rb")]
-            tops = [left.withColumn("k", r).where(F.col("k") <= most).select("a", "b") for r in ranks]
-            tested = tops[0].union(tops[1]).distinct()
+        ranks = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("est"), "a", "b")) for c in ("ra", "rb")]
+        tops = [left.withColumn("k", r).where(F.col("k") <= most).select("a", "b") for r in ranks]
+        tested = tops[0].union(tops[1]).distinct()
         tested = stored(tested.select("a", "b", F.concat_ws("-", "a", "b").alias("block")), "tested")
         one = tested.select(F.col("a").alias("id"), "block", F.array("b").alias("partners"))
         other = tested.select(F.col("b").alias("id"), "block", F.lit(None).cast("array<long>").alias("partners"))

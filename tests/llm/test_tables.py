@@ -147,6 +147,24 @@ def test_near_components_of_a_large_template_group(spark, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == want
 
 
+@pytest.mark.parametrize("most", [4_000_000, 20_000])
+def test_near_components_of_many_variants(spark, monkeypatch, most):
+    """Variants of one text around the limit, in one block or in many: every link counts, and both ways are exact."""
+    monkeypatch.setattr(near_dedup, "SMALL_CLUSTER", most)
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(104)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for k in r.sample(range(104), r.randint(1, 5)):
+            w[k] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    out = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 50
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == want
+
+
 def test_near_components_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_components(df, "doc_id", "text").count() == 0
