@@ -1,5 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above. SQL functions only.
 
+The files are read once: each becomes a slim row with its lines that speak of a licence, the licence texts that its
+vocabulary allows, and the text itself only if it has either. Everything else works on these rows.
+
 Every line that speaks of a licence, wherever it stands in a file, is a header candidate. Equal lines are scored
 once (so a line that a third of all files carry is one row), over words weighted by their rarity among all
 distinct candidate lines and templates; the dot products come from a join on words with the template vectors, a
@@ -7,27 +10,30 @@ fixed list that is small enough to broadcast. A line whose best cosine reaches `
 of several lines the best one counts, ties go to the first name in the alphabet.
 
 Licence texts and standard notices (``license_texts`` and ``NOTICES``) are looked for in all files, whatever their
-words: windows of each template's own number of words, an eighth of it apart, and the whole text. Weights come from
-these templates alone. A window that reaches ``LEAST_TEXT`` counts as one more header; a whole text that does is a
-licence file. Files are ruled out first by a bound: a cosine of c needs c * c of the template's squared weight in
-words that the file has.
+lines: windows of each template's own number of words, an eighth of it apart, and the whole text; equal texts are
+scored once. Weights, ``(1 + ln tf) * idf``, come from these templates alone. A window that reaches ``LEAST_TEXT``
+counts as one more header; a whole text that does is a licence file. Files are ruled out first by a bound: a cosine
+of c needs c * c of the template's squared weight in words that the file has, hence at least as many of them as of
+the template's heaviest words make up that weight.
 
-A file that is a licence itself (its whole text, not a line, reaches ``least_file``) speaks for its directory. A
-file without a licence of its own inherits from the nearest directory on its path that has one: distinct
-directories are exploded to their ancestors, joined to the licensed ones, and the deepest is joined back to files.
+A file that is a licence itself (its whole text, not a line, reaches ``least_file``, or is a licence text) speaks for
+its directory. A file without a licence of its own inherits from the nearest directory on its path that has one:
+distinct directories are exploded to their ancestors, joined to the licensed ones, and the deepest is joined back.
 
 Defined results: null and empty texts have no candidate lines; files with a null path are in no directory and
-inherit nothing. Repeated rows give repeated results; ids should be unique (rows that share an id share their
-lines). An empty table gives an empty result. Other columns are not read.
+inherit nothing. Every row is judged for itself, so repeated rows, repeated ids and null ids get a result each. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinmark.llm._common import stored
 
@@ -54,8 +60,6 @@ SPEAKS = "(?i)licen[sc]|spdx|public domain"
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
 LEAST, LEAST_FILE = 0.7, 0.45
 LEAST_TEXT = 0.75
-#: Up to so many pairs of a file and a template are broadcast to the texts; beyond, the texts are shuffled.
-FEW_FILES = 100_000
 #: Standard notices of several lines.
 _GNU = (
     "{this} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, "
@@ -92,9 +96,10 @@ def counted(units: DataFrame) -> DataFrame:
     return units.select("unit", F.explode(words(F.col("text"))).alias("word")).groupBy("unit", "word").agg(F.count("*").alias("tf"))
 
 
-def template_table(like: DataFrame) -> DataFrame:
-    rows = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)]
-    return like.sparkSession.createDataFrame(rows, "unit int, name string, text string")
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """unit, name, text of a fixed list."""
+    rows = [F.struct(F.lit(k).alias("unit"), F.lit(name).alias("name"), F.lit(text).alias("text")) for k, (name, text) in enumerate(templates)]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
 def best_match(units: DataFrame, weights: DataFrame, unseen: float, templates: DataFrame, least: float) -> DataFrame:
@@ -102,11 +107,8 @@ def best_match(units: DataFrame, weights: DataFrame, unseen: float, templates: D
     tf = counted(units).join(weights, "word", "left")
     vec = tf.select("unit", "word", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("v"))
     norms = vec.groupBy("unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    own = counted(templates).join(weights, "word").select(F.col("unit").alias("t"), "word", (F.col("tf") * F.col("idf")).alias("tv"))
-    sizes = own.groupBy("t").agg(F.sqrt(F.sum(F.col("tv") * F.col("tv"))).alias("tn"))
     # vectors of the fixed templates: a few hundred rows
-    table = own.join(sizes, "t").join(templates.select(F.col("unit").alias("t"), "name"), "t")
-    dots = vec.join(F.broadcast(table), "word").groupBy("unit", "t", "name", "tn").agg(F.sum(F.col("v") * F.col("tv")).alias("dot"))
+    dots = vec.join(F.broadcast(templates), "word").groupBy("unit", "t", "name", "tn").agg(F.sum(F.col("v") * F.col("tv")).alias("dot"))
     scored = dots.join(norms, "unit").select("unit", "name", F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("m"))
     return best.select("unit", F.col("m.name").alias("name"), (-F.col("m.s")).alias("score"))
@@ -120,73 +122,106 @@ def text_templates() -> list[tuple[str, str]]:
     return [*texts, ("BSD-2-Clause", two), *NOTICES]
 
 
-def text_matches(base: DataFrame) -> DataFrame:
-    """id, name, score, whole (is it the whole text) of the licence texts and notices that files (id, text) hold."""
-    rows = [(k, name, text) for k, (name, text) in enumerate(text_templates())]
-    templates = base.sparkSession.createDataFrame(rows, "unit int, name string, text string")
+def text_vectors(spark: SparkSession) -> DataFrame:
+    """t, name, length, word, idf, share (of the template's squared weight) and v (of the unit vector): a few thousand
+    rows, whatever the files are."""
+    fixed = text_templates()
+    templates = template_table(spark, fixed)
     tf = counted(templates)
-    weights = tf.groupBy("word").agg((F.log(F.lit(len(rows) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    unseen = math.log(len(rows) + 1) + 1
-    own = tf.join(weights, "word").select(F.col("unit").alias("t"), "word", (F.col("tf") * F.col("idf")).alias("tv"), "idf")
-    sizes = own.groupBy("t").agg(F.sqrt(F.sum(F.col("tv") * F.col("tv"))).alias("tn"))
-    lengths = templates.select(F.col("unit").alias("t"), "name", F.size(words(F.col("text"))).alias("length"))
-    # vectors of the fixed templates: a few thousand rows
-    table = own.join(sizes, "t").select("t", "word", "tv", "tn")
-    cut = base.select("id", words(F.col("text")).alias("w"))
-    held = cut.select("id", F.explode(F.array_distinct("w")).alias("word")).join(F.broadcast(table), "word")
-    bound = held.groupBy("id", "t").agg(F.sum(F.col("tv") * F.col("tv") / (F.col("tn") * F.col("tn"))).alias("share"))
-    possible = bound.where(F.col("share") >= LEAST_TEXT * LEAST_TEXT - 1e-9).select("id", "t").join(F.broadcast(lengths), "t")
-    possible = stored(possible, "possible")
-    few = possible.count() <= FEW_FILES
+    idf = tf.groupBy("word").agg((F.log(F.lit(len(fixed) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    vec = tf.join(idf, "word").select("unit", "word", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = vec.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    named = templates.select("unit", "name", F.size(words(F.col("text"))).alias("length"))
+    unit = vec.join(norm, "unit").join(named, "unit").withColumn("v", F.col("w") / F.col("norm"))
+    return stored(unit.select(F.col("unit").alias("t"), "name", "length", "word", "idf", (F.col("v") * F.col("v")).alias("share"), "v").coalesce(1), "templates")
+
+
+def allowed_templates(vectors: DataFrame) -> tuple[Column, Callable[[Column], Column]]:
+    """The words of all templates as one array, and what maps those of them that a file has (an array) to the numbers
+    of the templates that they do not rule out by the bound."""
+    heaviest_first = Window.partitionBy("t").orderBy(F.desc("share"), "word")
+    ranked = vectors.select("t", "word", F.row_number().over(heaviest_first).alias("k"), F.sum("share").over(heaviest_first).alias("upto"))
+    # lists of the fixed templates' words
+    rows = ranked.groupBy("t").agg(F.collect_list("word").alias("words"), F.min(F.when(F.col("upto") >= LEAST_TEXT * LEAST_TEXT - 1e-9, F.col("k"))).alias("needed")).orderBy("t").collect()
+    several = lambda found: F.array(*map(F.lit, sorted(found)))
+
+    def fitting(terms: Column) -> Column:
+        enough = [F.when(F.size(F.array_intersect(terms, several(r["words"]))) >= r["needed"], F.lit(r["t"])) for r in rows]
+        return F.when(F.size(terms) >= min(r["needed"] for r in rows), F.array_compact(F.array(*enough)))
+
+    return several({x for r in rows for x in r["words"]}), fitting
+
+
+def text_matches(texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """digest, name, score, whole (is it the whole text) of the licence texts and notices in (digest, text, allowed)."""
+    unseen = math.log(len(text_templates()) + 1) + 1
+    lengths = vectors.select("t", "name", "length").distinct()
+    idf = vectors.select("word", "idf").distinct()
+    cut = texts.select("digest", words(F.col("text")).alias("w"), F.explode("allowed").alias("t")).join(F.broadcast(lengths), "t")
     step = F.greatest(F.lit(1), F.floor(F.col("length") / 8)).cast("int")
     last = F.greatest(F.lit(1), F.size("w") - F.col("length") + 1)
     starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, step), F.array(last)))
-    spots = cut.join(F.broadcast(possible) if few else possible, "id").select("id", "t", "name", "w", F.explode(F.concat(F.array(F.lit(0)), starts)).alias("start"), "length")
+    spots = cut.select("digest", "t", "name", "w", "length", F.explode(F.concat(F.array(F.lit(0)), starts)).alias("start"))
     part = F.when(F.col("start") == 0, F.col("w")).otherwise(F.slice("w", F.greatest("start", F.lit(1)), F.col("length")))
-    inside = spots.select("id", "t", "name", "start", F.explode(part).alias("word")).groupBy("id", "t", "name", "start", "word").agg(F.count("*").alias("tf"))
-    weighed = inside.join(F.broadcast(weights), "word", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    both = weighed.join(F.broadcast(table.select("t", "word", "tv")), ["t", "word"], "left").join(F.broadcast(sizes), "t")
-    dot = F.coalesce(F.sum(F.col("v") * F.col("tv")), F.lit(0.0))
-    scored = both.groupBy("id", "t", "name", "start").agg(F.round(dot / (F.sqrt(F.sum(F.col("v") * F.col("v"))) * F.max("tn")), 6).alias("score"))
-    return stored(scored.where(F.col("score") >= LEAST_TEXT).select("id", "name", "score", (F.col("start") == 0).alias("whole")), "texts")
+    inside = spots.select("digest", "t", "name", "start", F.explode(part).alias("word")).groupBy("digest", "t", "name", "start", "word").agg(F.count("*").alias("tf"))
+    weighed = inside.join(F.broadcast(idf), "word", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen)))
+    both = weighed.join(F.broadcast(vectors.select("t", "word", "v")), ["t", "word"], "left")
+    scored = both.groupBy("digest", "t", "name", "start").agg(F.round(F.coalesce(F.sum(F.col("x") * F.col("v")), F.lit(0.0)) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("score"))
+    return scored.where(F.col("score") >= LEAST_TEXT).select("digest", "name", "score", (F.col("start") == 0).alias("whole"))
 
 
 def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: float = LEAST, least_file: float = LEAST_FILE) -> DataFrame:
     """Per file: the id, path, n_headers, own (licence or null), own_score, is_license_file, license (own or
     inherited, else null), from_dir (null unless inherited)."""
+    spark = files.sparkSession
+    vectors = text_vectors(spark)
+    speaks = lambda c: c.rlike(SPEAKS)
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    speaking = base.where(F.col("text").rlike(SPEAKS))
-    lines = speaking.select("id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(SPEAKS))
-    lines = lines.select("id", F.trim("line").alias("line"))
-    distinct = lines.select(F.col("line").alias("text")).distinct().withColumn("unit", F.col("text"))
-    templates = template_table(files)
-    seen = counted(distinct).select(F.col("unit").cast("string").alias("unit"), "word").union(counted(templates).select(F.concat(F.lit("\0"), F.col("unit")), "word"))
+    lines = F.when(speaks(F.col("text")), F.transform(F.filter(F.split("text", "\n"), speaks), F.trim))
+    known, fitting = allowed_templates(vectors)
+    terms = F.array_intersect(words(F.col("text")), known)
+    slim = base.select("id", "path", "text", lines.alias("lines"), F.transform(F.array(terms), fitting)[0].alias("allowed"))
+    telling = (F.size("lines") > 0) | (F.size("allowed") > 0)
+    slim = slim.select(F.monotonically_increasing_id().alias("row"), "id", "path", "lines", "allowed", F.when(telling, F.sha2("text", 256)).alias("digest"), F.when(telling, F.col("text")).alias("text"))
+    slim = stored(slim, "slim")
+
+    # lines and whole texts to the announcements
+    of_row = slim.where(F.size("lines") > 0).select("row", "digest", F.explode("lines").alias("line"))
+    distinct = stored(of_row.select(F.col("line").alias("text")).distinct(), "lines").withColumn("unit", F.col("text"))
+    announced = template_table(spark, TEMPLATES)
+    tf = counted(announced)
     total = distinct.count() + len(TEMPLATES)
-    weights = seen.groupBy("word").agg((F.log(F.lit(total + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    unseen = math.log(total + 1) + 1
-    by_line = best_match(distinct, weights, unseen, templates, least).select(F.col("unit").alias("line"), "name", "score")
-    headers = lines.join(by_line, "line").groupBy("id").agg(F.count("*").alias("n_headers"), F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("m"))
-    headers = headers.select("id", "n_headers", F.col("m.name").alias("own"), (-F.col("m.s")).alias("own_score"))
-    whole = speaking.join(headers.select("id"), "id", "left_semi").select(F.col("id").alias("unit"), "text")
-    as_file = best_match(whole, weights, unseen, templates, least_file).select(F.col("unit").alias("id"), F.col("name").alias("file_name"), F.col("score").alias("file_score"))
-    found = text_matches(base).withColumn("m", F.struct((-F.col("score")).alias("s"), "name"))
-    found = found.groupBy("id").agg(F.min("m").alias("m"), F.min(F.when(F.col("whole"), F.col("m"))).alias("f"))
-    first = lambda score, name, other: F.when(F.col(other).isNull() | (-F.col(score) < F.col(other)["s"]) | ((-F.col(score) == F.col(other)["s"]) & (F.col(name) <= F.col(other)["name"])), F.struct((-F.col(score)).alias("s"), F.col(name).alias("name"))).otherwise(F.col(other))
-    headers = headers.join(found.select("id", "m"), "id", "full").withColumn("b", first("own_score", "own", "m"))
-    headers = headers.select("id", (F.coalesce("n_headers", F.lit(0)) + F.col("m").isNotNull().cast("int")).alias("n_headers"), F.col("b.name").alias("own"), (-F.col("b.s")).alias("own_score"))
-    as_file = as_file.join(found.where("f is not null").select("id", "f"), "id", "full").withColumn("b", first("file_score", "file_name", "f"))
-    as_file = as_file.select("id", F.col("b.name").alias("file_name"), (-F.col("b.s")).alias("file_score"))
-    slim = base.select("id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"))
-    marked = slim.join(headers, "id", "left").join(as_file, "id", "left")
-    speakers = marked.where("file_name is not null and path is not null").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("file_score")).alias("s"), F.col("file_name").alias("name"))).alias("m"))
-    speakers = speakers.select("above", F.col("m.name").alias("given"))
-    dirs = slim.where("path is not null").select("dir").distinct()
+    weights = counted(distinct).select("word").unionByName(tf.select("word")).groupBy("word").agg((F.log(F.lit(total + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    weights, unseen = stored(weights, "weights"), math.log(total + 1) + 1
+    own = tf.join(weights, "word").select(F.col("unit").alias("t"), "word", (F.col("tf") * F.col("idf")).alias("tv"))
+    sizes = own.groupBy("t").agg(F.sqrt(F.sum(F.col("tv") * F.col("tv"))).alias("tn"))
+    table = stored(own.join(sizes, "t").join(announced.select(F.col("unit").alias("t"), "name"), "t").coalesce(1), "announced")
+    by_line = stored(best_match(distinct, weights, unseen, table, least).select(F.col("unit").alias("line"), "name", "score"), "headers")
+    best = lambda name, score: F.min(F.struct((-F.col(score)).alias("s"), F.col(name).alias("name")))
+    heads = stored(of_row.join(by_line, "line").groupBy("row", "digest").agg(F.count("*").alias("n"), best("name", "score").alias("m")), "heads")
+    texts = slim.where("digest is not null").groupBy("digest").agg(F.first("text").alias("text"), F.first("allowed").alias("allowed"))
+    whole = texts.join(heads.select("digest").distinct(), "digest", "left_semi").select(F.col("digest").alias("unit"), "text")
+    as_file = best_match(whole, weights, unseen, table, least_file).select(F.col("unit").alias("digest"), F.struct((-F.col("score")).alias("s"), "name").alias("f"))
+
+    # windows and whole texts to the licence texts
+    found = text_matches(texts.where(F.size("allowed") > 0), vectors)
+    at = F.struct((-F.col("score")).alias("s"), "name")
+    found = found.select("digest", at.alias("m"), F.when(F.col("whole"), at).alias("f"))
+    judged = stored(found.unionByName(as_file.select("digest", F.lit(None).cast("struct<s:double,name:string>").alias("m"), "f")).groupBy("digest").agg(F.min("m").alias("m"), F.min("f").alias("f")), "judged")
+
+    marked = slim.select("row", "id", "path", "digest", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"))
+    marked = marked.join(heads.select("row", "n", F.col("m").alias("h")), "row", "left").join(judged, "digest", "left")
+    mine = F.when(F.col("h").isNull(), F.col("m")).when(F.col("m").isNull(), F.col("h")).otherwise(F.least("h", "m"))
+    marked = marked.select("id", "path", "dir", (F.coalesce("n", F.lit(0)) + F.col("m").isNotNull().cast("int")).cast("long").alias("n_headers"), mine.alias("own"), "f")
+    marked = stored(marked, "marked")
+    speakers = marked.where("f is not null and path is not null").groupBy(F.col("dir").alias("above")).agg(F.min("f").alias("f")).select("above", F.col("f.name").alias("given"))
     parts = F.split("dir", "/")
-    upward = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("depth", "above"))
-    nearest = upward.join(speakers, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("m")).select("dir", F.col("m.above").alias("above"), F.col("m.given").alias("given"))
+    upward = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("depth", "above")
+    dirs = marked.where("path is not null").select("dir").distinct().select("dir", upward)
+    nearest = dirs.join(speakers, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("m")).select("dir", F.col("m.above").alias("above"), F.col("m.given").alias("given"))
     out = marked.join(nearest, "dir", "left")
     inherits = F.col("own").isNull() & F.col("path").isNotNull()
     return out.select(
-        F.col("id").alias(id_col), "path", F.coalesce("n_headers", F.lit(0)).cast("long").alias("n_headers"), "own", "own_score", F.col("file_name").isNotNull().alias("is_license_file"),
-        F.coalesce("own", F.when(inherits, F.col("given"))).alias("license"), F.when(inherits, F.col("above")).alias("from_dir"),
+        F.col("id").alias(id_col), "path", "n_headers", F.col("own.name").alias("own"), (-F.col("own.s")).alias("own_score"), F.col("f").isNotNull().alias("is_license_file"),
+        F.coalesce("own.name", F.when(inherits, F.col("given"))).alias("license"), F.when(inherits, F.col("above")).alias("from_dir"),
     )
