@@ -9,8 +9,12 @@ it makes up; nothing is fitted at run time.
 
 Defined results: a null or empty page, and one without article blocks, gives the empty text. Scripts, styles,
 templates, comments and the head are markup, not blocks. Character references are decoded, white space inside a
-block becomes one space, blocks are joined by one space; nothing is capped. Unclosed and stray tags are tolerated.
-Repeated rows give repeated results; an empty table gives an empty result. Other columns are not read.
+block becomes one space, blocks are joined by one space; nothing is capped. Unclosed and stray tags are tolerated:
+a head ends at its end tag or where the first tag or word of a body stands; an embedded element (``EMBEDDED``) that
+is self-closing or never closed is its tag alone, and what follows is read on; a script or style that is never closed
+runs to the end of the page, as in a browser. A page of very many blocks is read in pieces that carry the state of
+the network on, so its vectors never stand in memory together. Repeated rows give repeated results; an empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,17 +33,20 @@ from kinmark.llm._common import arrow_limits
 
 PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 128, 24, 10, 24
 INPUTS = PATH_DIMS + WORD_DIMS + NUMBERS
-PAGES_AT_ONCE = 64
+#: Pages and blocks that go through the network together; a page of more blocks goes in pieces of so many.
+PAGES_AT_ONCE, PIECE = 64, 8192
 
-_PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS_OF_NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
+_DIGIT = re.compile(r"\d")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no text of the page; a script or style needs an end tag.
+ENDLESS, EMBEDDED = frozenset("script style".split()), frozenset("iframe noembed noframes noscript svg template textarea title".split())
+_END_OF = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ENDLESS | EMBEDDED}
+#: Tags that a head may hold; any other one begins the body.
+IN_HEAD = frozenset("base basefont bgsound head html link meta".split()) | ENDLESS | EMBEDDED
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 #: An opening tag of these closes an open one of the same kind (or of its partner).
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -110,13 +117,34 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(raw)
 
-    at = 0
-    for m in _PARTS.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    at, in_head = 0, False
+    unclosed: set[str] = set()
+    while m := _PARTS.search(page, at):
+        raw, at = page[at : m.start()], m.end()
+        if in_head and not raw.isspace() and raw:
+            in_head = False
+        if not in_head:
+            add(raw)
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if tag == "head":
+            in_head = not m[1]
+        elif in_head and tag not in IN_HEAD:
+            in_head = False
+        if tag in _END_OF and not m[1]:
+            if tag not in INLINE:
+                cut()
+            if tag in EMBEDDED and (m[3].rstrip().endswith("/") or tag in unclosed):
+                continue
+            end = _END_OF[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ENDLESS:
+                at = len(page)
+            else:
+                unclosed.add(tag)
             continue
-        tag = m[3].lower()
         if tag not in INLINE:
             if tag == "br":
                 add(" ")
@@ -124,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
             cut()
         if tag in VOID:
             continue
-        if m[2]:
+        if m[1]:
             if any(t == tag for t, _ in stack):
                 while stack:
                     t, _ = stack.pop()
@@ -142,29 +170,31 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if t not in INLINE and not (tag == "tr" and t in ("td", "th")):
                     break
-        if not m[4].rstrip().endswith("/"):
-            stack.append((tag, _tag_tokens(tag, m[4])))
+        if not m[3].rstrip().endswith("/"):
+            stack.append((tag, _tag_tokens(tag, m[3])))
             links += tag == "a"
-    add(page[at:])
+    if not in_head or page[at:].strip():
+        add(page[at:])
     cut()
     return out
 
 
-def describe(blocks: list[Block]) -> np.ndarray:
-    """One row of INPUTS values for each block."""
-    n = len(blocks)
-    x = np.zeros((n, INPUTS), np.float32)
-    for i, b in enumerate(blocks):
-        x[i, :PATH_DIMS] = _path_vector(b.path or ())
+def describe(blocks: list[Block], first: int = 0, n: int | None = None) -> np.ndarray:
+    """One row of INPUTS values for each block; the blocks stand from place ``first`` on in a page of n."""
+    n = n or len(blocks)
+    x = np.zeros((len(blocks), INPUTS), np.float32)
+    for k, b in enumerate(blocks):
+        i = first + k
+        x[k, :PATH_DIMS] = _path_vector(b.path or ())
         words = _WORD.findall(b.text.lower())
         if words:
             slots = np.bincount(list(map(_word_slot, words)), minlength=2 * WORD_DIMS)
-            x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = (slots[:WORD_DIMS] - slots[WORD_DIMS:]) / np.sqrt(len(words))
+            x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = (slots[:WORD_DIMS] - slots[WORD_DIMS:]) / np.sqrt(len(words))
         size = len(b.text)
         ends = b.text[-1] in ".!?\"'»”…:"
-        x[i, PATH_DIMS + WORD_DIMS :] = (
+        x[k, PATH_DIMS + WORD_DIMS :] = (
             np.log1p(size) / 6, np.log1p(len(words)) / 4, b.linked / size, float(ends), b.text.count(",") / (1 + len(words)) * 4,
-            i / n, min(i, 10) / 10, min(n - 1 - i, 10) / 10, len(b.path or ()) / 8, sum(c.isdigit() for c in b.text[:200]) / min(size, 200),
+            i / n, min(i, 10) / 10, min(n - 1 - i, 10) / 10, len(b.path or ()) / 8, len(_DIGIT.findall(b.text)) / size,
         )
     return x
 
@@ -173,10 +203,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hidden states (pages, steps, HIDDEN) of one direction; masked steps keep the state."""
+def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, state: list[np.ndarray] | None = None) -> np.ndarray:
+    """Hidden states (pages, steps, HIDDEN) of one direction; masked steps keep the state. A given state is where the
+    run starts, and becomes where it ended."""
     pages, steps, _ = x.shape
-    h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
     out = np.zeros((pages, steps, HIDDEN), np.float32)
     z = x @ w + b
     for t in range(steps):
@@ -186,6 +217,8 @@ def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: n
         c = np.where(m, f * c + i * np.tanh(g[:, 3 * HIDDEN :]), c)
         h = np.where(m, o * np.tanh(c), h)
         out[:, t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -206,6 +239,18 @@ class Labeller:
         z = ahead @ self.w["of"] + back @ self.w["ob"] + x @ self.w["ox"] + self.w["o"][0]
         return [_sigmoid(z[k, : len(p)]) for k, p in enumerate(pages)]
 
+    def of_long_page(self, blocks: list[Block]) -> np.ndarray:
+        """The probabilities of one page, PIECE blocks at a time; each direction carries its state on."""
+        n, w = len(blocks), self.w
+        z = np.full(n, w["o"][0], np.float32)
+        for names, turn in ((("wf", "uf", "bf", "of"), 1), (("wb", "ub", "bb", "ob"), -1)):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            for lo in range(0, n, PIECE)[::turn]:
+                x = describe(blocks[lo : lo + PIECE], lo, n)
+                out = run_lstm(x[None, ::turn], np.ones((1, len(x)), bool), *(w[k] for k in names[:3]), state)[0, ::turn]
+                z[lo : lo + PIECE] += out @ w[names[3]] + (x @ w["ox"] if turn == 1 else 0)
+        return _sigmoid(z)
+
 
 _LOADED: list[Labeller] = []
 
@@ -226,16 +271,20 @@ def main_texts(pages: list[str | None], model: Labeller | None = None) -> list[s
     model = model or labeller()
     cut = [blocks_of(p or "") for p in pages]
     out = [""] * len(pages)
+    kept = lambda blocks, p: " ".join(b.text for b, keep in zip(blocks, p >= 0.5, strict=True) if keep)
+    for i, blocks in enumerate(cut):
+        if len(blocks) > PIECE:
+            out[i] = kept(blocks, model.of_long_page(blocks))
     # pages of like length together, so that little is padded
-    order = sorted((i for i in range(len(pages)) if cut[i]), key=lambda i: len(cut[i]))
+    order = sorted((i for i in range(len(pages)) if 0 < len(cut[i]) <= PIECE), key=lambda i: len(cut[i]))
     lo = 0
     while lo < len(order):
         hi = lo + 1
-        while hi < len(order) and hi - lo < PAGES_AT_ONCE and (hi - lo + 1) * len(cut[order[hi]]) <= 8192:
+        while hi < len(order) and hi - lo < PAGES_AT_ONCE and (hi - lo + 1) * len(cut[order[hi]]) <= PIECE:
             hi += 1
         some = order[lo:hi]
         for i, p in zip(some, model.probabilities([describe(cut[i]) for i in some]), strict=True):
-            out[i] = " ".join(b.text for b, keep in zip(cut[i], p >= 0.5, strict=True) if keep)
+            out[i] = kept(cut[i], p)
         lo = hi
     return out
 

@@ -165,3 +165,69 @@ def test_spotsigs_pairs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     got = {(x["a"], x["b"]) for x in spotsigs.similar_pairs(spotsigs.spot_sets(df, "k", "t"), 0.75).collect()}
     assert got == want and want
+
+
+BODY = "<article><h1>A title stands here</h1>" + "".join(f"<p>Sentence number {i} of this story tells what happened on the {i}th day in the old harbour town.</p>" for i in range(6)) + "</article>"
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>t</title></head><body>", "<html><head><title>t</title><body>", "<html><head><title>t</title><meta charset=utf-8><link rel=x href=y>", "<title>t</title>", "<html><head><style>p {}</style><script>var a = '<p>no</p>';</script>",
+        "<body><nav><svg class='i'/><a href=/>Home</a></nav>", "<body><nav><svg><path d='x'/></svg><a href=/>Home</a></nav>", "<body><iframe src='x'/>", "<body><iframe src='x'>", "<body><template><p>no</p></template><noscript><p>no</p></noscript>",
+        "<HEAD><TITLE>t</TITLE></HEAD><BODY><TEXTAREA>no</TEXTAREA>",
+    ],
+)
+def test_html_optional_and_unclosed_tags(start):
+    """The article is whole, whatever optional, self-closed or unclosed tag stands before it."""
+    text = html_extract.main_texts([start + BODY])[0]
+    assert text.startswith("A title stands here Sentence number 0") and text.endswith("old harbour town.")
+
+
+def test_html_scripts_without_an_end_and_many_unclosed_elements():
+    assert html_extract.main_texts([BODY + "<script>var x = 1; <p>no</p>"])[0].endswith("old harbour town.")
+    assert html_extract.main_texts([BODY + "<style>p { } <p>no</p>"])[0].endswith("old harbour town.")
+    many = "<iframe>" * 20_000 + BODY
+    assert "Sentence number 5" in html_extract.main_texts([many])[0]
+
+
+def test_html_pieces_are_one_run(monkeypatch):
+    pages = [blocks for seed in range(7_000_000, 7_000_006) if (blocks := html_train.labelled(seed))]
+    model = html_extract.labeller()
+    monkeypatch.setattr(html_extract, "PIECE", 7)
+    for blocks in pages:
+        whole = model.probabilities([html_extract.describe(blocks)])[0]
+        assert np.allclose(model.of_long_page(blocks), whole, atol=1e-4)
+
+
+def test_html_page_of_very_many_blocks():
+    page = "<body><article>" + "<p>One more sentence of the very long story, told in the harbour town.</p>" * 200_000 + "</article></body>"
+    text = html_extract.main_texts([page])[0]
+    assert text.count("harbour town.") > 190_000
+
+
+#: Pages written by hand, not by the maker of the training pages: each block is (kept, html).
+BY_HAND = [
+    [
+        (0, '<div class="topbar"><a href="/">Harbour News</a></div>'), (0, '<ul class="menu"><li><a href="/a">World</a></li>'), (0, '<li><a href="/b">Sport</a></li></ul>'), (1, '<div class="story-body"><h1>Ferry returns after winter repairs</h1>'),
+        (1, "<p>The ferry between the two islands sailed again on Monday, four months after a storm had damaged its hull.</p>"), (1, "<p>Passengers waited on the quay from early morning. “We missed it every day,” said one of them.</p>"),
+        (0, '<div class="advert">Cheap flights from 19.99 – book now!</div>'), (1, "<p>The company expects about 300 passengers a day until the summer season begins in June.</p></div>"), (0, '<div class="related"><h3>Related</h3>'), (0, '<a href="/c">Storm closes harbour</a></div>'),
+        (0, '<section id="comments"><h3>2 comments</h3>'), (0, '<div class="comment"><p>Great news, I will take it on Friday with my kids.</p></div></section>'), (0, '<footer><p>© 2021 Harbour News. All rights reserved.</p></footer>'),
+    ],
+    [
+        (0, '<header><a href="/">My kitchen</a></header>'), (0, '<nav><a href="/r">Recipes</a></nav>'), (0, '<div class="cookie-notice"><p>This site uses cookies to give you a better experience.</p></div>'), (1, '<main><article><h2>Bread with walnuts</h2>'),
+        (1, "<p>This bread needs little work, but it needs time: the dough should rest overnight in a cool place.</p>"), (1, "<ul><li>500 g of wheat flour</li>"), (1, "<li>150 g of walnuts, roughly chopped</li></ul>"),
+        (1, "<p>Mix everything with the water in the evening. In the morning, fold the dough twice and bake it for forty minutes.</p></article></main>"), (0, '<aside class="sidebar"><h4>Newsletter</h4>'), (0, '<form><label>Your e-mail</label>'), (0, "<button>Subscribe</button></form></aside>"),
+        (0, '<div id="footer"><a href="/imprint">Imprint</a></div>'),
+    ],
+]
+
+
+def test_html_pages_written_by_hand():
+    right = total = 0
+    for blocks in BY_HAND:
+        text = html_extract.main_texts(["<html><body>" + "".join(b for _, b in blocks) + "</body></html>"])[0]
+        for keep, block in blocks:
+            own = " ".join(x.text for x in html_extract.blocks_of(block))
+            right, total = right + ((own in text) == bool(keep)), total + 1
+    assert right / total >= 0.9
