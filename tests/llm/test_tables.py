@@ -270,11 +270,12 @@ def brute_marks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_contamination(spark, monkeypatch, few):
-    if not few:
-        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    items = [(i, words(R.choice([3, 13, 20]))) for i in range(8)] + [(8, None), (9, "..."), (10, "École É a"), (11, "k É")]
+@pytest.mark.parametrize(("few", "short"), [("", True), ("", False), ("BROADCAST_WINDOWS", True), ("LISTED_WORDS", True), ("LISTED_WORDS", False)])
+def test_contamination(spark, monkeypatch, few, short):
+    if few:
+        monkeypatch.setattr(decontaminate, few, 0)
+    items = [(i, words(R.choice([3, 13, 20] if short else [13, 20]))) for i in range(8)] + [(8, None), (9, "...")]
+    items += [(10, "École É a"), (11, "k É")] if short else [(10, items[0][1]), (11, "it's " + words(15) + ' \\ "q" ' + words(3))]
     docs = []
     for i in range(30):
         t = words(R.randint(0, 60)).upper()
@@ -286,6 +287,11 @@ def test_contamination(spark, monkeypatch, few):
     tb = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(df, tb).collect()}
     assert got == brute_marks(docs, items)
+    whole = next(t for i, t in items if t and len(t.split()) > 12)
+    rows = spark.createDataFrame([(None, whole), (None, "clean words only"), (3, whole), (3, whole), (3, "other " * 400 + whole)], "doc_id long, text string")
+    assert sorted(str((r["doc_id"], r["n_hit"] > 0, r["contaminated"])) for r in decontaminate.contamination(rows, tb).collect()) == sorted(
+        map(str, [(None, True, True), (None, False, False), (3, True, True), (3, True, True), (3, True, 20 * len(whole.split()) >= 400 + len(whole.split()))])
+    )
     assert decontaminate.contamination(df.limit(0), tb).count() == 0
     assert decontaminate.contamination(df.limit(4), tb.limit(0)).where("contaminated").count() == 0
 
