@@ -13,8 +13,7 @@ Licence texts and standard notices (``license_texts`` and ``NOTICES``) are looke
 lines: windows of each template's own number of words, an eighth of it apart, and the whole text; equal texts are
 scored once. Weights, ``(1 + ln tf) * idf``, come from these templates alone. A window that reaches ``LEAST_TEXT``
 counts as one more header; a whole text that does is a licence file. Files are ruled out first by a bound: a cosine
-of c needs c * c of the template's squared weight in words that the file has, hence at least as many of them as of
-the template's heaviest words make up that weight.
+of c needs c * c of the template's squared weight in words that the file has.
 
 A file that is a licence itself (its whole text, not a line, reaches ``least_file``, or is a licence text) speaks for
 its directory. A file without a licence of its own inherits from the nearest directory on its path that has one:
@@ -28,7 +27,7 @@ empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,20 +135,25 @@ def text_vectors(spark: SparkSession) -> DataFrame:
     return stored(unit.select(F.col("unit").alias("t"), "name", "length", "word", "idf", (F.col("v") * F.col("v")).alias("share"), "v").coalesce(1), "templates")
 
 
-def allowed_templates(vectors: DataFrame) -> tuple[Column, Callable[[Column], Column]]:
-    """The words of all templates as one array, and what maps those of them that a file has (an array) to the numbers
-    of the templates that they do not rule out by the bound."""
+def with_allowed(base: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``base`` with the column allowed: the numbers of the templates that the words of text do not rule out."""
     heaviest_first = Window.partitionBy("t").orderBy(F.desc("share"), "word")
-    ranked = vectors.select("t", "word", F.row_number().over(heaviest_first).alias("k"), F.sum("share").over(heaviest_first).alias("upto"))
-    # lists of the fixed templates' words
-    rows = ranked.groupBy("t").agg(F.collect_list("word").alias("words"), F.min(F.when(F.col("upto") >= LEAST_TEXT * LEAST_TEXT - 1e-9, F.col("k"))).alias("needed")).orderBy("t").collect()
-    several = lambda found: F.array(*map(F.lit, sorted(found)))
-
-    def fitting(terms: Column) -> Column:
-        enough = [F.when(F.size(F.array_intersect(terms, several(r["words"]))) >= r["needed"], F.lit(r["t"])) for r in rows]
-        return F.when(F.size(terms) >= min(r["needed"] for r in rows), F.array_compact(F.array(*enough)))
-
-    return several({x for r in rows for x in r["words"]}), fitting
+    ranked = vectors.select("t", "word", "share", F.row_number().over(heaviest_first).alias("k"), F.sum("share").over(heaviest_first).alias("upto"))
+    enough = LEAST_TEXT * LEAST_TEXT - 1e-9
+    # lists of the fixed templates' words, which are letters, digits and points and need no quoting
+    rows = ranked.groupBy("t").agg(F.collect_list(F.struct("word", "share")).alias("of"), F.min(F.when(F.col("upto") >= enough, F.col("k"))).alias("needed")).orderBy("t").collect()
+    listed = lambda found: ", ".join(f"'{x}'" for x in sorted(found))
+    known = F.expr(f"filter(array_distinct(w), x -> x in ({listed({x['word'] for r in rows for x in r['of']})}))")
+    fits = []
+    for r in rows:
+        shares = {x["word"]: x["share"] for x in r["of"]}
+        of_template = f"map_from_arrays(array({', '.join(f"'{x}'" for x in shares)}), array({', '.join(f'{v!r}D' for v in shares.values())}))"
+        many = F.expr(f"size(filter(terms, x -> x in ({listed(shares)}))) >= {r['needed']}")
+        heavy = F.expr(f"aggregate(terms, 0D, (sum, x) -> sum + coalesce(try_element_at({of_template}, x), 0D)) >= {enough!r}D")
+        fits.append(F.when(many & heavy, F.lit(r["t"])))
+    some = F.when(F.size("terms") >= min(r["needed"] for r in rows), F.array_compact(F.array(*fits)))
+    cut = base.select("*", words(F.col("text")).alias("w"))
+    return cut.select(*base.columns, known.alias("terms")).select(*base.columns, some.alias("allowed"))
 
 
 def text_matches(texts: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -178,9 +182,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     speaks = lambda c: c.rlike(SPEAKS)
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     lines = F.when(speaks(F.col("text")), F.transform(F.filter(F.split("text", "\n"), speaks), F.trim))
-    known, fitting = allowed_templates(vectors)
-    terms = F.array_intersect(words(F.col("text")), known)
-    slim = base.select("id", "path", "text", lines.alias("lines"), F.transform(F.array(terms), fitting)[0].alias("allowed"))
+    slim = with_allowed(base, vectors).withColumn("lines", lines)
     telling = (F.size("lines") > 0) | (F.size("allowed") > 0)
     slim = slim.select(F.monotonically_increasing_id().alias("row"), "id", "path", "lines", "allowed", F.when(telling, F.sha2("text", 256)).alias("digest"), F.when(telling, F.col("text")).alias("text"))
     slim = stored(slim, "slim")
