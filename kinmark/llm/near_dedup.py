@@ -8,7 +8,7 @@
    share a value, up to ``REGION`` of them. The depth follows the region: one of at most ``REGION`` rows is covered
    whole at depth one; in a larger one the rows with the longest common prefixes come first, and the depth is the
    one at which the region fits. Pairs whose short sketches do not rule the similarity out are candidates, except
-   those that a chain of neighbours connects already: they are in one cluster anyhow.
+   those that nearer candidates connect already: they are in one cluster anyhow, and step 3 looks at all of it.
 3. Candidates are grouped into clusters. A cluster's sets are brought together once, in blocks of bounded size, and
    links are confirmed exactly with integers: the candidates first, then all pairs of the block that are not
    connected and share one of their rarest shingles. Candidates across the blocks of a large cluster are confirmed
@@ -154,22 +154,29 @@ def _neighbours(percent: int, edges_only: bool):
         alike = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
         lcp = np.where(alike.all(axis=1), DEPTH, alike.argmin(axis=1))  # of each row and the next one
         shared, out = lcp, []
-        chain = np.arange(n)  # rows that candidates at distance one connect have one number
+        group = np.arange(n)  # rows that candidates connect already have one number
         for w in range(1, min(REGION, n - 1) + 1):
             shared = lcp if w == 1 else np.minimum(shared[:-1], lcp[w - 1 :])
             at = np.flatnonzero(shared)
             if not len(at):
                 break  # every region is covered
-            if w > 1:
-                at = at[chain[at] != chain[at + w]]
+            at = at[group[at] != group[at + w]]
             if edges_only:
                 at = at[part[at + w] != part[at]]
             est = (sketch[at] == sketch[at + w]).mean(axis=1)
             at, est = at[est >= least], est[est >= least]
-            if w == 1:
+            if w == 1 and not edges_only:
                 joined = np.zeros(n, bool)
                 joined[at + 1] = True
-                chain = np.cumsum(~joined)
+                group = np.cumsum(~joined)
+            elif len(at):
+                forest = Forest()
+                fresh_links = np.fromiter(map(forest.join, group[at].tolist(), group[at + w].tolist()), bool, len(at))
+                at, est = at[fresh_links], est[fresh_links]
+                renamed = np.arange(group.max() + 1)
+                for x in forest.up:
+                    renamed[x] = forest.root(x)
+                group = renamed[group]
             new = at + w >= fresh
             at, est = at[new], est[new]
             out.append((np.minimum(ids[at], ids[at + w]), np.maximum(ids[at], ids[at + w]), est))
