@@ -27,8 +27,9 @@ from pyspark.sql.window import Window
 
 from kinmark.llm._common import fresh_name
 
-#: More buckets than this are never made; the table of their sizes (two integers each) stays below 16 MB.
-MOST_BUCKETS = 1 << 20
+#: More buckets than this are never made, so the table of their sizes (two integers each) stays below 16 MB; at 100 TB
+#: a bucket has 100 MB. A task takes one bucket, or, beyond so many tasks, its share of them one after the other.
+MOST_BUCKETS, MOST_TASKS = 1 << 20, 1 << 16
 
 
 def bucket_count(total_bytes: int, bucket_bytes: int) -> int:
@@ -60,7 +61,9 @@ def shuffled_shards(df: DataFrame, text_col: str, n_shards: int, seed: int, buck
     # at most MOST_BUCKETS rows of two integers: small enough to broadcast at any size of the input
     dealt = rows.join(F.broadcast(starts), bucket).select(*df.columns, bucket, base)
     orderable = [c for c in df.columns if c in keys]
-    dealt = dealt.repartition(max(1, min(n, 4096)), bucket).sortWithinPartitions(bucket, *orderable)
+    tasks = min(n, MOST_TASKS)
+    # by the number itself: a hash of it would put several buckets on one task and none on others
+    dealt = dealt.repartitionById(tasks, (F.col(bucket) % tasks).cast("int")).sortWithinPartitions(bucket, *orderable)
     schema = T.StructType([*df.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(slot, T.LongType())])
     width = len(df.columns)
 

@@ -2,14 +2,17 @@
 
 A common word (of the four languages below), a line break or a bar anchors a spot; the chain of the next two
 content words after the anchor, common words skipped, is its signature. A text's fingerprint is the set of its
-spots, held as sorted 32-bit digests in base64. Two fingerprints are compared by Jaccard; the ratio of the set
-sizes bounds it from above, so pairs whose sizes differ too much are never intersected.
+spots, held as sorted 32-bit digests in base64. Fingerprints are partitioned by set length: partition k holds sizes
+whose logarithm to the base 1 / least lies in [k, k + 1), so sets that are ``least`` alike are in one partition or in
+neighbouring ones. They are compared by pruned Jaccard: sets of partitions further apart, and sets whose sizes alone
+keep them below ``least``, are never intersected; what is left is exact.
 
 ``similar_pairs`` finds all pairs of a table from a likeness on: records are partitioned by set length (a record
 meets its own and the next shorter partition only), joined on the rarest spots (the prefix that any pair that is
 similar enough must share) and verified on whole sets.
 
-``edited_neighbours`` holds each text against an edited copy (its second half replaced by the start of the next
+``edited_neighbours`` compares its fixed pairs the same way, with the low limit ``LEAST``, so that only a likeness that
+the lengths alone show to be below it is given as 0. It holds each text against an edited copy (its second half replaced by the start of the next
 text) and against the next text. Texts are dealt into id ranges of bounded size and sorted; the first text of a
 range is also handed to the range before it, so each pair meets in one task and each text is shuffled once.
 
@@ -31,8 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frequent function words of English, French, German and Spanish.
@@ -51,6 +53,8 @@ COMMON = frozenset(
 ) | {"\n"}
 _TOKENS = re.compile(r"[^\W_]+|[\n|]")
 CHAIN = 2
+#: Likenesses of fixed pairs below this are given as 0 where the set lengths show it.
+LEAST = 0.05
 #: Ranges of ids; their first rows travel in a broadcast of three integers each.
 RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 
@@ -81,12 +85,16 @@ def as_string(prints: np.ndarray) -> str:
     return base64.b64encode(prints.astype("<u4").tobytes()).decode()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard; 0 where the sizes alone show that it stays below ``least``."""
+def length_partition(n: int, least: float) -> int:
+    return int(np.floor(np.log(n) / np.log(1 / least) + 1e-12)) if least < 1 else n
+
+
+def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Jaccard of two sorted sets; 0 where the partitions or the sizes show that it stays below ``least``."""
     if not len(a) and not len(b):
         return 1.0
     small, large = sorted((len(a), len(b)))
-    if not small or small / large < least:
+    if not small or abs(length_partition(small, least) - length_partition(large, least)) > 1 or small < least * large:
         return 0.0
     both = np.concatenate([a, b])
     both.sort()
@@ -162,14 +170,18 @@ def spot_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), prints(F.col(text_col)).alias("prints"))
 
 
+def _partition_column(n: Column, least: float) -> Column:
+    """length_partition as a column."""
+    return F.floor(F.log(n) / F.lit(float(np.log(1 / least))) + F.lit(1e-12)) if least < 1 else n.cast("long")
+
+
 def similar_pairs(sets: DataFrame, least: float = 0.75) -> DataFrame:
     """Pairs (a, b, likeness) of ids, a < b, from ``least`` on; ``sets`` has unique ids and ``prints``."""
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     sized = sets.where(F.size("prints") > 0).withColumn("n", F.size("prints"))
     counts = sized.select(F.explode("prints").alias("p")).groupBy("p").agg(F.count("*").alias("f"))
-    # partition k holds sizes whose logarithm to the base 1/least lies in [k, k + 1)
-    step = F.lit(0).cast("long") + F.when(F.lit(least) < 1, F.floor(F.log("n") / float(np.log(1 / min(least, 0.999))))).otherwise(F.col("n"))
+    step = _partition_column(F.col("n"), least)
     ranked = sized.select("id", "n", F.explode("prints").alias("p")).join(counts, "p")
     heads = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "p"))).alias("o"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1

@@ -94,9 +94,9 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield lo, texts[lo:]
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, with_digests: bool) -> DataFrame:
     """h, id, q, d: the anchors of all texts; q packs place, largest and smallest offset, d is a digest of the
-    context and its offsets."""
+    context and its offsets, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +107,11 @@ def anchors(docs: DataFrame) -> DataFrame:
                 raw = b"".join(some)
                 d, p, a, b, h = _anchors(np.frombuffer(raw, np.uint8), starts)
                 at, offsets = starts[d] + p, (a << 8) | b
-                spans = zip((at - a).tolist(), (at - b + LENGTH).tolist(), offsets.tolist(), strict=True)
-                digests = np.array([xxhash.xxh3_64_intdigest(raw[x:y], o) for x, y, o in spans], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[lo + d].astype(np.int64)), pa.array((p << 16) | offsets), pa.array(digests)], names=["h", "id", "q", "d"])
+                digests = pa.nulls(len(h), pa.int64())
+                if with_digests:
+                    spans = zip((at - a).tolist(), (at - b + LENGTH).tolist(), offsets.tolist(), strict=True)
+                    digests = pa.array(np.array([xxhash.xxh3_64_intdigest(raw[x:y], o) for x, y, o in spans], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[lo + d].astype(np.int64)), pa.array((p << 16) | offsets), digests], names=["h", "id", "q", "d"])
 
     return docs.where("id is not null").mapInArrow(run, "h long, id long, q long, d long")
 
@@ -313,10 +315,9 @@ def removed_spans(n: int, repeats: list[int], firsts: list[int]) -> tuple[np.nda
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """id, spots: each document's anchors whose hash occurs more than once, with the number of occurrences, or 0
     where all their contexts are equal."""
-    found = anchors(docs)
-    counts = found.groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("n > 1")
+    counts = anchors(docs, True).groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("n > 1")
     counts = counts.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("n"))
-    return found.select("h", "id", "q").join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "q", "n")).alias("spots"))
+    return anchors(docs, False).select("h", "id", "q").join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "q", "n")).alias("spots"))
 
 
 def cut_repeats(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
