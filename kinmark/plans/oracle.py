@@ -38,8 +38,9 @@ def address_numbers(x: str) -> str:
 
 
 STEPS: dict[str, str] = {
-    "rec": """SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS src, lang AS country,
-      array_to_string(string_split(text, ' ')[1:6], ' ') AS business_name, array_to_string(string_split(text, ' ')[7:18], ' ') || ' ' || n_chars AS business_address FROM documents""",
+    "rec": """SELECT 'S' || (1 + doc_id % 3) || '-' || (doc_id * 1000000 + i) AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS src, lang AS country,
+      array_to_string(w[18 * i + 1:18 * i + 6], ' ') AS business_name, array_to_string(w[18 * i + 7:18 * i + 18], ' ') || ' ' || (n_chars + i) AS business_address
+      FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // 18)) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM documents))""",
     "norm": f"SELECT *, {name_form('business_name')} AS name_norm, {address_form('business_address')} AS addr_norm FROM rec",
     "forms": f"""SELECT *, array_to_string({content("name_norm")}, ' ') AS name_core, array_to_string(list_sort(name_toks), ' ') AS name_key,
       replace(array_to_string({content("name_norm")}, ' '), ' ', '') AS name_core_nospace, replace(name_norm, ' ', '') AS name_nospace,
@@ -91,7 +92,8 @@ STEPS |= {
     "keys": _keys(),
     "index_keys": f"SELECT k.* FROM keys k JOIN (SELECT country, fam, key, count(*) AS n FROM keys WHERE src > 1 GROUP BY ALL) s USING (country, fam, key) WHERE k.src > 1 AND s.n <= {_caps()}",
     "cand": "SELECT a.country, a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS n_keys, bit_or(1 << a.fam) AS fam_mask FROM keys a JOIN index_keys b USING (country, key) WHERE a.src = 1 GROUP BY ALL",
-    "truth": """SELECT 'S1-' || x.doc_id AS a_id, 'S' || (1 + y.doc_id % 3) || '-' || y.doc_id AS b_id FROM documents x JOIN documents y ON x.text = y.text AND x.lang = y.lang WHERE x.doc_id % 3 = 0 AND y.doc_id % 3 > 0""",
+    "truth": """SELECT 'S1-' || (a * 1000000 + i) AS a_id, 'S' || (1 + b % 3) || '-' || (b * 1000000 + i) AS b_id FROM (SELECT x.doc_id AS a, y.doc_id AS b, unnest(generate_series(0, (len(string_split(x.text, ' ')) - 1) // 18)) AS i
+      FROM documents x JOIN documents y ON x.text = y.text AND x.lang = y.lang WHERE x.doc_id % 3 = 0 AND y.doc_id % 3 > 0)""",
     "cheap0": "SELECT c.*, a.at_all AS a_at, b.at_all AS b_at, a.mt_all AS a_mt, b.mt_all AS b_mt, a.an_all AS a_an, b.an_all AS b_an FROM cand c JOIN lists a ON a.entity_id = a_id JOIN lists b ON b.entity_id = b_id",
     "wide": "SELECT country, " + ", ".join(f"max(le_{lv}) FILTER (kind = '{k}') AS {s}_le_{lv}" for k, s in (("addr", "at"), ("name", "mt"), ("num", "an")) for lv in DF_LEVELS) + " FROM thr GROUP BY country",
 }
@@ -126,7 +128,7 @@ _NEEDS = {
 
 
 def after(steps: str, query: str, **more: str) -> str:
-    """WITH the named steps and all they need, then further ones, then the query."""
+    """WITH the named steps (or what is given in their place) and all they need, then further ones, then the query."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -138,7 +140,7 @@ def after(steps: str, query: str, **more: str) -> str:
     for s in steps.split():
         add(s)
     # each step is used several times: kept once
-    ctes = [f"{s} AS MATERIALIZED ({STEPS[s]})" for s in order] + [f"{k} AS ({v})" for k, v in more.items()]
+    ctes = [f"{s} AS MATERIALIZED ({more.pop(s, STEPS[s])})" for s in order] + [f"{k} AS ({v})" for k, v in more.items()]
     return f"WITH {', '.join(ctes)} {query}" if ctes else query
 
 
@@ -164,5 +166,11 @@ def summary(source: str) -> str:
     ) + f" FROM {source}"
 
 
+#: Passages and whole documents as records, in the place of ``rec``.
+PASSAGES = """SELECT 'S1-' || (item_id * 1000000 + i) AS entity_id, 1 AS src, 'all' AS country, array_to_string(w[18 * i + 1:18 * i + 18], ' ') AS business_name, '' AS business_address
+  FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // 18)) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM benchmark))
+  UNION ALL SELECT 'S2-' || (doc_id * 1000000 + i), 2, 'all', array_to_string(w[9 * i + 1:9 * i + 18], ' '), ''
+  FROM (SELECT *, unnest(generate_series(0, greatest(0, (len(w) - 10) // 9))) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM documents))"""
+
 FAMILY_ROWS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FAMILIES))
 SCRIPT_CASES = " ".join(f"WHEN regexp_matches(c, '\\p{{{s}}}') THEN '{s.upper()}'" for s in SCRIPTS)

@@ -187,10 +187,10 @@ def _(spark, d):
     return decisions.candidate_recall(named(funnel(spark, d).candidates), named(truth(spark, d)))
 
 
-@query("benchmark_overlap")
+@query("benchmark_overlap", sql.after("ranked", "SELECT a_id, b_id, n_keys, round(score, 9) AS score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 20", rec=sql.PASSAGES))
 def _(spark, d):
     f = Funnel(src.passages_as_records(read(spark, d, "benchmark"), read(spark, d, "documents")))
-    return f.survivors.select("a_id", "b_id", "n_keys", F.round("score", 9).alias("score"), "rank")
+    return f.survivors.select("a_id", "b_id", "n_keys", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # cheap features, ranking -------------------------------------------------------------------------------------------
@@ -279,10 +279,10 @@ _AB_REALS = ("grp_best_score", "grp_margin_best", "grp_nm_rel", "grp_ad_rel", "b
 
 @query(
     "group_features_ab",
-    sql.after("pairs", "SELECT a AS a_id, b AS b_id, count(*) OVER x AS grp_n_cands, CAST(row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS BIGINT) AS grp_rank, round(max(p) OVER x, 9) AS grp_best_score, round(p - max(p) OVER x, 9) AS grp_margin_best, round(q - max(q) OVER x, 9) AS grp_nm_rel, round(r - max(r) OVER x, 9) AS grp_ad_rel, count(*) OVER y AS bside_n_competitors, CAST(row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS BIGINT) AS bside_rank, round(p - max(p) OVER y, 9) AS bside_margin_best FROM (SELECT *, 1 - p AS q, p * p AS r FROM pairs) WINDOW x AS (PARTITION BY a), y AS (PARTITION BY b)"),
+    sql.after("pairs", "SELECT a AS a_id, b AS b_id, count(*) OVER x AS grp_n_cands, CAST(row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS BIGINT) AS grp_rank, round(max(p) OVER x, 9) AS grp_best_score, round(p - max(p) OVER x, 9) AS grp_margin_best, round(q - max(q) OVER x, 9) AS grp_nm_rel, round(r - max(r) OVER x, 9) AS grp_ad_rel, count(*) OVER y AS bside_n_competitors, CAST(row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS BIGINT) AS bside_rank, round(p - max(p) OVER y, 9) AS bside_margin_best FROM (SELECT *, 1 - p AS q, p / 2 AS r FROM pairs) WINDOW x AS (PARTITION BY a), y AS (PARTITION BY b)"),
 )
 def _(spark, d):
-    p = pairs(spark, d).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "p", (1 - F.col("p")).alias("q"), (F.col("p") * F.col("p")).alias("r"))
+    p = pairs(spark, d).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "p", (1 - F.col("p")).alias("q"), (F.col("p") / 2).alias("r"))
     out = pairwise.both_side_features(p, "p", "q", "r")
     return out.select("a_id", "b_id", "grp_n_cands", F.col("grp_rank").cast("long").alias("grp_rank"), "bside_n_competitors", F.col("bside_rank").cast("long").alias("bside_rank"), *(F.round(c, 9).alias(c) for c in _AB_REALS))
 
@@ -364,10 +364,10 @@ def _(spark, d):
 
 @query(
     "entity_score_shape",
-    sql.after("pairs", "SELECT o_orderkey AS a, coalesce(n, 0) AS n, coalesce(best, 0.0) AS best, coalesce(second, 0.0) AS second, round(coalesce(best - second, 0.0), 9) AS gap, round(coalesce(total, 0.0), 6) AS total, coalesce(over_half, 0) AS over_half, coalesce(over_nine, 0) AS over_nine, coalesce(best_cheap, 0.0) AS best_cheap FROM orders LEFT JOIN (SELECT a, count(*) AS n, max(p) AS best, list_min(list_sort(list(p), 'DESC')[1:2]) AS second, sum(p) AS total, count(*) FILTER (p > 0.5) AS over_half, count(*) FILTER (p > 0.9) AS over_nine, max(p * p) AS best_cheap FROM pairs GROUP BY a) ON a = o_orderkey"),
+    sql.after("pairs", "SELECT o_orderkey AS a, coalesce(n, 0) AS n, coalesce(best, 0.0) AS best, coalesce(second, 0.0) AS second, round(coalesce(best - second, 0.0), 9) AS gap, round(coalesce(total, 0.0), 6) AS total, coalesce(over_half, 0) AS over_half, coalesce(over_nine, 0) AS over_nine, coalesce(best_cheap, 0.0) AS best_cheap FROM orders LEFT JOIN (SELECT a, count(*) AS n, max(p) AS best, list_min(list_sort(list(p), 'DESC')[1:2]) AS second, sum(p) AS total, count(*) FILTER (p > 0.5) AS over_half, count(*) FILTER (p > 0.9) AS over_nine, max(p / 2) AS best_cheap FROM pairs GROUP BY a) ON a = o_orderkey"),
 )
 def _(spark, d):
-    return decisions.score_shape(pairs(spark, d).withColumn("cheap", F.col("p") * F.col("p")), read(spark, d, "orders").select(F.col("o_orderkey").alias("a")))
+    return decisions.score_shape(pairs(spark, d).withColumn("cheap", F.col("p") / 2), read(spark, d, "orders").select(F.col("o_orderkey").alias("a")))
 
 
 query("auc_signal", sql.after("pairs", "SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum(pos * (below + neg / 2)) / (sum(pos)::DOUBLE * sum(neg)), 9) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM pairs GROUP BY p))"))(

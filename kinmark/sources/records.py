@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,32 +68,58 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Words of a record's name and address, and what separates a document's runs in record numbers.
+NAME_WORDS, ADDRESS_WORDS, RUN_STEP = 6, 12, 1_000_000
+
+
+def _runs(df: DataFrame, id_col: str, words: int, step: int) -> DataFrame:
+    """``df`` with i (number of the run) and run (array of at most ``words`` words), one row for each ``step`` words
+    of the whole text; an empty or null text has one run without words. Numbers are id * RUN_STEP + i."""
+    w = F.split(F.coalesce("text", F.lit("")), " ")
+    count = F.greatest(F.lit(1), F.ceil((F.size(w) - (words - step)) / step)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(w, i * step + 1, words))
+    return df.select("*", F.posexplode(cut).alias("i", "run")).withColumn("number", F.col(id_col) * RUN_STEP + F.col("i"))
+
+
+def _source(doc_id: str) -> Column:
+    return 1 + F.col(doc_id) % 3
+
+
 def documents_as_records(docs: DataFrame) -> DataFrame:
-    """words 1-6 of a document as the name, words 7-18 and its length as the address, its language as the
-    country; ids deal documents out to sources 1 to 3."""
-    words = F.split("text", " ")
-    src = 1 + F.col("doc_id") % 3
-    return docs.select(
-        F.concat(F.lit("S"), src, F.lit("-"), F.col("doc_id")).alias("entity_id"),
-        src.cast("int").alias("src"),
+    """whole documents as records, 18 words each: the first six words of a run are the name, the others and a
+    number (n_chars plus the run's number) the address, the language is the country; ids deal documents out to
+    sources 1 to 3."""
+    part = lambda lo, n: F.array_join(F.slice("run", lo, n), " ")
+    return _runs(docs, "doc_id", NAME_WORDS + ADDRESS_WORDS, NAME_WORDS + ADDRESS_WORDS).select(
+        F.concat(F.lit("S"), _source("doc_id"), F.lit("-"), F.col("number")).alias("entity_id"),
+        _source("doc_id").cast("int").alias("src"),
         F.coalesce("lang", F.lit("")).alias("country"),
-        F.coalesce(F.array_join(F.slice(words, 1, 6), " "), F.lit("")).alias("business_name"),
-        F.concat(F.coalesce(F.array_join(F.slice(words, 7, 12), " "), F.lit("")), F.lit(" "), F.coalesce(F.col("n_chars").cast("string"), F.lit(""))).alias("business_address"),
+        part(1, NAME_WORDS).alias("business_name"),
+        F.concat(part(NAME_WORDS + 1, ADDRESS_WORDS), F.lit(" "), F.coalesce((F.col("n_chars") + F.col("i")).cast("string"), F.lit(""))).alias("business_address"),
     )
 
 
 def document_truth(docs: DataFrame) -> DataFrame:
-    """(a_id, b_id): documents of source 1 and of sources 2 or 3 with one text and language."""
-    side = lambda p: docs.select((1 + F.col("doc_id") % 3).alias(f"{p}_src"), F.concat(F.lit("S"), 1 + F.col("doc_id") % 3, F.lit("-"), F.col("doc_id")).alias(f"{p}_id"), "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    """(a_id, b_id): runs of one number of documents of source 1 and of sources 2 or 3 with one text and language."""
+    words = F.size(F.split("text", " "))
+    runs = F.greatest(F.lit(1), F.ceil(words / (NAME_WORDS + ADDRESS_WORDS))).cast("int")
+    side = lambda p: docs.select(_source("doc_id").alias(f"{p}_src"), F.col("doc_id").alias(p), "lang", F.sha2("text", 256).alias("h"), runs.alias("n"))
     a, b = side("a").where("a_src = 1"), side("b").where("b_src > 1")
-    return a.join(b, ["lang", "h", "n"]).select("a_id", "b_id")
+    same = a.join(b, ["lang", "h", "n"]).select("a", "b", "b_src", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return same.select(F.concat(F.lit("S1-"), F.col("a") * RUN_STEP + F.col("i")).alias("a_id"), F.concat(F.lit("S"), "b_src", F.lit("-"), F.col("b") * RUN_STEP + F.col("i")).alias("b_id"))
 
 
 def passages_as_records(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """benchmark passages (source 1) against documents (source 2), one country."""
-    words = F.split("text", " ")
-    shape = lambda df, i, s: df.select(F.concat(F.lit(f"S{s}-"), F.col(i)).alias("entity_id"), F.lit(s).alias("src"), F.lit("all").alias("country"), F.array_join(F.slice(words, 1, 6), " ").alias("business_name"), F.array_join(F.slice(words, 7, 12), " ").alias("business_address"))
-    return shape(items, "item_id", 1).unionByName(shape(docs, "doc_id", 2))
+    """benchmark passages (source 1) against whole documents (source 2), one country. Runs of 18 words are names;
+    those of documents begin every nine words, so each run of a passage shares at least nine words in a row with one
+    of the document that holds it, wherever it stands."""
+    size = NAME_WORDS + ADDRESS_WORDS
+
+    def shape(df: DataFrame, id_col: str, source: int, step: int) -> DataFrame:
+        cut = _runs(df.select(id_col, "text"), id_col, size, step)
+        return cut.select(F.concat(F.lit(f"S{source}-"), F.col("number")).alias("entity_id"), F.lit(source).alias("src"), F.lit("all").alias("country"), F.array_join("run", " ").alias("business_name"), F.lit("").alias("business_address"))
+
+    return shape(items, "item_id", 1, size).unionByName(shape(docs, "doc_id", 2, size // 2))
 
 
 def urls_as_records(pages: DataFrame) -> DataFrame:
