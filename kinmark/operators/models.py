@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmark.operators.decisions import fold_of, threshold_sweep
+from kinmark.operators.decisions import auc, fold_of, threshold_sweep
+from kinmark.operators.pairwise import GROUP
 
 KINDS = ("logistic", "gbt", "gbt_deep", "forest")
+THRESHOLDS = tuple(round(0.05 + 0.05 * i, 2) for i in range(19))
+#: Folds of the a side: the first ranker's, the matcher's, and those held out.
+RANKER_FOLDS, MATCHER_FOLDS, HELD_FOLDS = (0,), tuple(range(1, 8)), (8, 9)
 
 
 def estimator(kind: str, features: list[str], label: str = "y", seed: int = 17) -> Pipeline:
@@ -43,20 +51,80 @@ def apply(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(name))
 
 
-def compare(train: DataFrame, held: DataFrame, features: list[str], truth_counts: DataFrame, kinds: tuple[str, ...] = KINDS, thresholds: tuple[float, ...] = tuple(round(0.05 + 0.05 * i, 2) for i in range(19))) -> tuple[DataFrame, PipelineModel]:
-    """ML2: (kind, threshold, macro_f05) of each kind's best threshold on held-out entities, and the best model."""
-    rows, best, model = [], -1.0, None
-    for kind in kinds:
-        fitted = estimator(kind, features).fit(train)
-        scored = apply(fitted, held).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "p", "y")
-        top = threshold_sweep(scored, truth_counts, list(thresholds)).orderBy(F.desc("macro_f05"), "threshold").first()
-        rows.append((kind, top["threshold"], top["macro_f05"]))
-        if top["macro_f05"] > best:
-            best, model = top["macro_f05"], fitted
-    return train.sparkSession.createDataFrame(rows, "kind string, threshold double, macro_f05 double"), model
+def feature_sets(features: Sequence[str]) -> dict[str, list[str]]:
+    """ML2's ablation: all features, and those without the candidate group's."""
+    return {"all": list(features), "base": [f for f in features if f not in GROUP]}
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model with what is needed to apply it elsewhere."""
+
+    model: PipelineModel
+    kind: str
+    feature_set: str
+    features: list[str]
+    threshold: float
+    macro_f05: float
 
 
-def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+def compare(
+    train: DataFrame, held: DataFrame, features: Sequence[str], truth_counts: DataFrame, kinds: Sequence[str] = KINDS, thresholds: Sequence[float] = THRESHOLDS, sets: dict[str, list[str]] | None = None
+) -> tuple[DataFrame, Fitted]:
+    """ML2: (kind, feature_set, n_features, threshold, macro_f05) of each model's best threshold on held-out entities,
+    and the best model; a tie stays with the earlier one."""
+    rows, best = [], None
+    for name, columns in (sets or {"all": list(features)}).items():
+        for kind in kinds:
+            fitted = estimator(kind, columns).fit(train)
+            scored = apply(fitted, held).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "p", "y")
+            top = threshold_sweep(scored, truth_counts, list(thresholds)).orderBy(F.desc("macro_f05"), "threshold").first()
+            rows.append((kind, name, len(columns), top["threshold"], top["macro_f05"]))
+            if best is None or top["macro_f05"] > best.macro_f05:
+                best = Fitted(fitted, kind, name, columns, top["threshold"], top["macro_f05"])
+    return train.sparkSession.createDataFrame(rows, "kind string, feature_set string, n_features int, threshold double, macro_f05 double"), best
+
+
+def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return sorted(zip(features, (float(abs(v)) for v in values.toArray()), strict=True), key=lambda x: -x[1])
+
+
+def save(fitted: Fitted, path: str, **more: object) -> None:
+    """SK6: the model and, beside it, one row of what it was fitted on (any file system that Spark writes to)."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    about = {k: getattr(fitted, k) for k in ("kind", "feature_set", "features", "threshold", "macro_f05")} | more
+    about["importances"] = importances(fitted.model, fitted.features)
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
+    """SC13: a saved model, and all that was said about it."""
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    model = PipelineModel.load(f"{path}/model")
+    return Fitted(model, *(about[k] for k in ("kind", "feature_set", "features", "threshold", "macro_f05"))), about
+
+
+SHAPE = ("n", "best", "second", "gap", "total", "over_half", "over_nine", "best_cheap")
+
+
+def split_entities(df: DataFrame, key: str, share: float = 0.5, seed: str = "3") -> tuple[DataFrame, DataFrame]:
+    """PF11: a random part of the entities, and the others; all rows of an entity are on one side, in every run."""
+    first = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") < int(share * 2**32)
+    return df.where(first), df.where(~first)
+
+
+def singletons(shape: DataFrame, truth_counts: DataFrame, kind: str = "gbt") -> tuple[DataFrame, Fitted]:
+    """ML4: can an entity without a match be told from how its scores look? (signal, auc) of each signal alone (fewer
+    or lower means singleton) and of a model of all of them, the latter on the half that it was not fitted on."""
+    rows = shape.join(truth_counts, "a").withColumn("y", (F.col("n_true") == 0).cast("int"))
+    train, held = split_entities(rows, "a")
+    model = estimator(kind, list(SHAPE)).fit(train)
+    signed = rows.select("y", *((-F.col(c).cast("double")).alias(c) for c in SHAPE))
+    table = None
+    for df, name in (*((signed, c) for c in SHAPE), (apply(model, held, "model"), "model")):
+        one = auc(df, name, "y").select(F.lit(name).alias("signal"), "auc", "n_pos", "n_neg")
+        table = one if table is None else table.unionByName(one)
+    return table, Fitted(model, kind, "shape", list(SHAPE), 0.5, 0.0)

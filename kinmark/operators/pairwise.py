@@ -62,7 +62,7 @@ def group_features(pairs: DataFrame, score: str, nm: str, ad: str) -> DataFrame:
     """GF1: each a's candidates seen together; one window, so one shuffle. Margins are the value less the best one,
     so never positive; the gap is the best less the runner-up (0 for a single candidate)."""
     of_a = Window.partitionBy("a_id")
-    out = pairs.withColumn("g_rank", F.row_number().over(of_a.orderBy(F.desc(score), "b_id")))
+    out = pairs.withColumn("g_rank", F.row_number().over(of_a.orderBy(F.desc(F.round(score, 9)), "b_id")))
     best, total = F.max(score).over(of_a), F.sum(score).over(of_a)
     second = F.coalesce(F.max(F.when(F.col("g_rank") == 2, F.col(score))).over(of_a), best)
     return out.withColumns(

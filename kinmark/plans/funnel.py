@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from kinmark.functions.text import with_forms
 from kinmark.operators import blocking, decisions, models, pairwise, ranking, reports
 from kinmark.operators.blocking import BlockConfig
 from kinmark.operators.decisions import DecisionConfig
+from kinmark.operators.models import Fitted
 from kinmark.session import ensure_package
 
 
@@ -20,9 +21,11 @@ class Funnel:
     DataFrame; the two tables that all later steps read, forms and id lists, are kept while in use and can be
     rebuilt from their plans when an executor is lost."""
 
-    def __init__(self, records: DataFrame, cfg: BlockConfig | None = None, top: int = 20):
+    def __init__(self, records: DataFrame, cfg: BlockConfig | None = None, top: int = 20, folds: Sequence[int] | None = None, ranker: Fitted | None = None):
+        """folds: only entities of these folds probe (the vocabulary is over all records all the same). ranker: scores
+        candidates in place of the heuristic."""
         ensure_package(records.sparkSession)
-        self.records, self.cfg, self.top = records, cfg or BlockConfig(), top
+        self.records, self.cfg, self.top, self.folds, self.ranker = records, cfg or BlockConfig(), top, folds, ranker
 
     @cached_property
     def forms(self) -> DataFrame:
@@ -50,7 +53,10 @@ class Funnel:
 
     @cached_property
     def a_keys(self) -> DataFrame:
-        return blocking.make_keys(self.side(True), self.cfg)
+        probing = self.side(True)
+        if self.folds is not None:
+            probing = probing.where(decisions.fold_of(F.col("entity_id")).isin(*self.folds))
+        return blocking.make_keys(probing, self.cfg)
 
     @cached_property
     def b_keys(self) -> DataFrame:
@@ -70,15 +76,14 @@ class Funnel:
 
     @cached_property
     def scored(self) -> DataFrame:
+        if self.ranker is not None:
+            return models.apply(self.ranker.model, self.cheap, "score")
         return self.cheap.withColumn("score", ranking.heuristic_score())
 
     @cached_property
     def survivors(self) -> DataFrame:
         return ranking.top_k(self.scored, self.top)
 
-    def learned_survivors(self, ranker: PipelineModel) -> DataFrame:
-        return ranking.top_k(models.apply(ranker, self.cheap, "score"), self.top)
-
     @cached_property
     def features(self) -> DataFrame:
         b_side = self.forms.where("src > 1")

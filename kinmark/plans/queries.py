@@ -287,7 +287,23 @@ def _(spark, d):
     return out.select("a_id", "b_id", "grp_n_cands", F.col("grp_rank").cast("long").alias("grp_rank"), "bside_n_competitors", F.col("bside_rank").cast("long").alias("bside_rank"), *(F.round(c, 9).alias(c) for c in _AB_REALS))
 
 
+_JW = {"nm_jw": "name_core", "nmkey_jw": "name_key", "nmns_jw": "name_core_nospace", "ad_jw": "addr_norm"}
+_PLAIN = (*(f"nm_{c}" for c in ("exact", "len_a", "len_b", "len_diff")), "nmkey_exact", "nmns_exact", "ad_exact", "both_exact", "ad_len_a", "ad_len_b", "ad_len_diff", "b_addr_empty", "b_name_nonlatin", "b_addr_nonlatin", "is_s3", "g_n_cands", "g_rank")
 query("feature_matrix")(lambda s, d: funnel(s, d).features)
+query(
+    "feature_matrix_plain",
+    sql.after(
+        "text_pairs",
+        "SELECT a_id, b_id, "
+        + ", ".join(f"CAST(a_{v} = b_{v} AS BIGINT) AS {k}" for k, v in (("nm_exact", "name_norm"), ("nmkey_exact", "name_key"), ("nmns_exact", "name_core_nospace"), ("ad_exact", "addr_norm")))
+        + ", CAST(a_name_norm = b_name_norm AND a_addr_norm = b_addr_norm AS BIGINT) AS both_exact, "
+        + ", ".join(f"CAST(length(a_{v}) AS BIGINT) AS {k}_len_a, CAST(length(b_{v}) AS BIGINT) AS {k}_len_b, CAST(abs(length(a_{v}) - length(b_{v})) AS BIGINT) AS {k}_len_diff" for k, v in (("nm", "name_core"), ("ad", "addr_norm")))
+        + ", CAST(b_addr_norm = '' AS BIGINT) AS b_addr_empty, CAST(b_name_nonascii AS BIGINT) AS b_name_nonlatin, CAST(b_addr_nonascii AS BIGINT) AS b_addr_nonlatin, CAST(starts_with(b_id, 'S3-') AS BIGINT) AS is_s3, "
+        + "count(*) OVER w AS g_n_cands, CAST(row_number() OVER (PARTITION BY a_id ORDER BY round(score, 9) DESC, b_id) AS BIGINT) AS g_rank, round(score - max(score) OVER w, 6) AS g_cheap_margin, round(score / sum(score) OVER w, 6) AS g_cheap_share, "
+        + ", ".join(f"round(CASE WHEN a_{v} = '' AND b_{v} = '' THEN 1.0 WHEN a_{v} = '' OR b_{v} = '' THEN 0.0 ELSE jaro_winkler_similarity(a_{v}, b_{v}) END, 6) AS {k}" for k, v in _JW.items())
+        + " FROM text_pairs WINDOW w AS (PARTITION BY a_id)",
+    ),
+)(lambda s, d: funnel(s, d).features.select("a_id", "b_id", *(F.col(c).cast("long").alias(c) for c in _PLAIN), *(F.round(c, 6).alias(c) for c in ("g_cheap_margin", "g_cheap_share", *_JW))))
 
 # folds, truth, samples -------------------------------------------------------------------------------------------------
 
@@ -298,6 +314,9 @@ query("truth_pairs", sql.after("truth", "SELECT a_id, b_id FROM truth"))(truth)
 query("truth_counts", sql.after("rec truth", "SELECT r.entity_id AS a, count(t.a_id) AS n_true FROM rec r LEFT JOIN truth t ON t.a_id = r.entity_id WHERE src = 1 GROUP BY r.entity_id"))(
     lambda s, d: docs_records(s, d).where("src = 1").select(F.col("entity_id").alias("a")).join(truth(s, d).groupBy(F.col("a_id").alias("a")).agg(F.count("*").alias("n")), "a", "left").select("a", F.coalesce("n", F.lit(0)).cast("long").alias("n_true"))
 )
+query("entity_split", sql.after("rec", "SELECT entity_id, ('0x' || substr(md5('3|' || entity_id), 1, 8))::BIGINT < 2147483648 AS first FROM rec WHERE src = 1"))(
+    lambda s, d: (lambda x, y: x.withColumn("first", F.lit(True)).unionByName(y.withColumn("first", F.lit(False))))(*models.split_entities(docs_records(s, d).where("src = 1").select("entity_id"), "entity_id"))
+)
 query("seeded_sample", sql.after("rec", "SELECT country, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5(entity_id || '|7'), entity_id) AS k FROM rec) WHERE k <= 25"))(
     lambda s, d: decisions.seeded_sample(docs_records(s, d), "entity_id", 25, "7", per="country").select("country", "entity_id")
 )
@@ -428,6 +447,10 @@ query(
     ),
 )(lambda s, d: reports.profile_truth_countries(_submission(s, d)[0], _entity_countries(s, d)))
 query("profile_countries", sql.after("rec", "SELECT src, country, count(*) AS n_rows FROM rec GROUP BY ALL"))(lambda s, d: reports.profile_countries(docs_records(s, d)))
+query("truth_lists", sql.after("pairs", "SELECT a AS a_id, b AS b_id FROM n WHERE p >= 0.6 AND b IN (SELECT b FROM n WHERE p < 0.05)", n=_IDS_OF))(
+    lambda s, d: (lambda m, named: src.indexed_truth(m, named.where("p < 0.05").select(F.col("b").alias("entity_id"))))(*(lambda x: (x[0], x[3]))(_submission(s, d)))
+)
+query("truth_list_counts", sql.after("pairs", "SELECT source1_entity_id AS a, CAST(CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END AS BIGINT) AS n_true FROM l", n=_IDS_OF, l=_LISTS))(lambda s, d: src.listed_counts(_submission(s, d)[0]))
 query("match_distribution", sql.after("pairs", "SELECT CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END AS n_matches, count(*) AS n FROM l GROUP BY ALL", n=_IDS_OF, l=_LISTS))(lambda s, d: reports.match_distribution(_submission(s, d)[0]))
 query(
     "profile_truth",
@@ -469,12 +492,17 @@ query("error_by_partition", sql.after("ranked truth forms", "SELECT kind, countr
 )
 
 
-@query("error_buckets", sql.after("ranked truth forms", f"SELECT kind, {_BUCKET} AS bucket, count(*) AS n FROM e JOIN forms x ON x.entity_id = e.a_id JOIN forms y ON y.entity_id = e.b_id GROUP BY ALL", sv=_SV, e=_ERRORS))
+@query("error_buckets")
 def _(spark, d):
     kinds, forms = _errors(spark, d)
     both = pairwise.attach_text(kinds, forms)
-    alike = lambda v: sim.levenshtein_similarity(F.col(f"a_{v}"), F.col(f"b_{v}"))
-    return both.groupBy("kind", reports.error_bucket(alike("name_core"), alike("addr_norm")).alias("bucket")).agg(F.count("*").alias("n"))
+    bucket = reports.error_bucket(*(sim.metric("tokset", F.col(f"a_{v}"), F.col(f"b_{v}")) for v in ("name_key", "addr_norm")))
+    return both.groupBy("kind", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+query("error_ladder", sql.after("ranked truth forms", f"SELECT kind, {_BUCKET} AS bucket, count(*) AS n FROM e JOIN forms x ON x.entity_id = e.a_id JOIN forms y ON y.entity_id = e.b_id GROUP BY ALL", sv=_SV, e=_ERRORS))(
+    lambda s, d: (lambda e, f: pairwise.attach_text(e, f).groupBy("kind", reports.error_bucket(*(sim.levenshtein_similarity(F.col(f"a_{v}"), F.col(f"b_{v}")) for v in ("name_core", "addr_norm"))).alias("bucket")).agg(F.count("*").alias("n")))(*_errors(s, d))
+)
 
 
 # models, tuning ----------------------------------------------------------------------------------------------------------
@@ -504,10 +532,20 @@ def _(spark, d):
     held = docs_records(spark, d).where("src = 1").select(F.col("entity_id").alias("a")).where(decisions.fold_of(F.col("a")) >= 8)
     n = truth(spark, d).groupBy(F.col("a_id").alias("a")).agg(F.count("*").alias("n"))
     need = held.join(n, "a", "left").select("a", F.coalesce("n", F.lit(0)).cast("long").alias("n_true"))
-    table, _ = models.compare(rows.where("fold < 8"), rows.where("fold >= 8"), list(ranking.CHEAP_FEATURES), need, kinds=("logistic", "forest"), thresholds=(0.25, 0.5, 0.75))
+    features = list(ranking.CHEAP_FEATURES)
+    # the cheap features' own ablation: with and without those that only exist across all keys of a pair
+    sets = {"all": features, "base": [f for f in features if f not in ("n_keys", "fam_mask")]}
+    table, _ = models.compare(rows.where("fold < 8"), rows.where("fold >= 8"), features, need, sets=sets)
     return table
 
 
+@query("singleton_signals")
+def _(spark, d):
+    p = pairs(spark, d).withColumn("cheap", F.col("p") / 2).where("p >= 0.6")
+    need = counts(spark, d, pairs(spark, d))
+    return models.singletons(decisions.score_shape(p, need), need)[0]
+
+
 @query("tune_decision")
 def _(spark, d):
     p = pairs(spark, d).persist()

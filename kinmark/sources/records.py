@@ -143,5 +143,42 @@ def pair_truth(pairs: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def exploded_truth(truth: DataFrame) -> DataFrame:
-    """TR1's input: (a_id, b_id) of the comma lists."""
+    """(a_id, b_id) of the comma lists."""
     return truth.select(F.col("source1_entity_id").alias("a_id"), F.explode(comma_list(F.col("matched_entity_ids"))).alias("b_id")).where("b_id <> ''")
+
+
+def indexed_truth(truth: DataFrame, b_side: DataFrame) -> DataFrame:
+    """TR1: the true pairs whose b is in the index; b_side has entity_id."""
+    return exploded_truth(truth).join(b_side.select(F.col("entity_id").alias("b_id")).distinct(), "b_id", "left_semi").select("a_id", "b_id")
+
+
+def listed_counts(truth: DataFrame) -> DataFrame:
+    """TR2: (a, n_true) of every listed entity, also of those without a match, over all listed ids."""
+    return truth.select(F.col("source1_entity_id").alias("a"), F.size(F.filter(comma_list(F.col("matched_entity_ids")), lambda x: x != "")).cast("long").alias("n_true"))
+
+
+def write_truth_counts(counts: DataFrame, path: str) -> None:
+    """SK4: (a, n_true, country, part), a folder for each country and part."""
+    counts.write.mode("overwrite").partitionBy("country", "part").parquet(path)
+
+
+def read_truth_counts(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    """SC10: all shards as one table, or those of a part."""
+    df = spark.read.parquet(path)
+    return df if part is None else df.where(F.col("part") == part)
+
+
+def write_dataset(rows: DataFrame, path: str, info: dict) -> None:
+    """SK5: feature rows with their keys and labels by part and country, and what they were made with."""
+    rows.write.mode("overwrite").partitionBy("part", "country").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+
+
+def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """SC11: the feature rows, read by column as needed, and their description."""
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/info").first()["value"])
+
+
+def read_lists(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """SC9: a published table of comma lists."""
+    return read_tsv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", column)]))

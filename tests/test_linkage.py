@@ -220,14 +220,84 @@ def test_entry_module_needs_no_corpus_operators(spark):
     assert entry.entry(spark).columns == ["a_id", "b_id", "score", "rank"]
 
 
+def write_split(root, split, rows):
+    folder = root / split
+    folder.mkdir(exist_ok=True)
+    for source in (1, 2, 3):
+        lines = [f"{i}\t{name}\t{addr}\t{c}" for i, s, c, name, addr in rows if s == source]
+        (folder / f"source{source}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "\n".join(lines) + "\n")
+
+
 def test_command_line(spark, tmp_path, capsys):
     from kinmark.__main__ import main
 
-    (tmp_path / "train").mkdir()
-    for source in (1, 2, 3):
-        rows = [f"{i}\t{name}\t{addr}\t{c}" for i, s, c, name, addr in RECORDS if s == source]
-        (tmp_path / f"train/source{source}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "\n".join(rows) + "\n")
-    assert main(["link", str(tmp_path), "train", str(tmp_path / "out")]) == 0
+    write_split(tmp_path, "test", RECORDS)
+    assert main(["link-untrained", str(tmp_path), str(tmp_path / "out")]) == 0
     assert "ok   matches_are_candidates" in capsys.readouterr().out
-    assert main(["profile", str(tmp_path), "train", str(tmp_path / "out")]) == 0
-    assert spark.read.json(str(tmp_path / "out/profile")).count() == 3
+    assert main(["profile", str(tmp_path), str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out/reports/profile_test")).count() == 3
+
+
+def made_up_split(seed, n):
+    """Records of source 1 with 0 to 3 noisy copies in the others, and the truth."""
+    import random
+
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghilmnoprstu", k=r.randint(4, 8))) for _ in range(400)]
+    rows, truth, b = [], [], 0
+    for i in range(n):
+        name, addr, c = r.sample(words, 3), [str(r.randint(1, 999)), *r.sample(words, 3)], "xy"[i % 2]
+        rows.append((f"S1-{i}", 1, c, " ".join(name), " ".join(addr)))
+        own = []
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            s, b = r.choice([2, 3]), b + 1
+            copy, place = list(name), list(addr)
+            if r.random() < 0.5:
+                copy[r.randrange(3)] = r.choice(words)
+            r.shuffle(place)
+            rows.append((f"S{s}-{b}", s, c, " ".join(copy), " ".join(place)))
+            own.append(f"S{s}-{b}")
+        truth.append((f"S1-{i}", ",".join(own)))
+    return rows, truth
+
+
+def test_all_stages(spark, tmp_path, capsys):
+    from kinmark.__main__ import report, run_stage
+    from kinmark.plans import stages
+
+    root, work = str(tmp_path), str(tmp_path / "work")
+    rows, truth = made_up_split(1, 160)
+    write_split(tmp_path, "train", rows)
+    (tmp_path / "train/ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "\n".join(f"{a}\t{m}" for a, m in truth) + "\n")
+    write_split(tmp_path, "test", made_up_split(2, 30)[0])
+    for split in ("train", "test"):
+        run_stage(spark, "profile", root, work, split)
+        run_stage(spark, "prepare", root, work, split)
+    stages.train_ranker(spark, root, work, kind="logistic")
+    stages.build_dataset(spark, root, work, per_country=60)
+    data, info = src.read_dataset(spark, f"{work}/dataset")
+    assert data.agg(F.max("y")).first()[0] == 1 and info["features"] == list(pairwise.FEATURE_NAMES) and {r["part"] for r in data.select("part").distinct().collect()} == {"train", "valid"}
+    assert src.read_truth_counts(spark, f"{work}/truth", "train").groupBy("country").count().agg(F.max("count")).first()[0] <= 60
+    stages.train(spark, work, kinds=("logistic",))
+    table = spark.read.json(f"{work}/comparison").collect()
+    assert {r["feature_set"] for r in table} == {"all", "base"} and {r["n_features"] for r in table} == {85, 74}
+    fitted, about = models.load(spark, f"{work}/matcher")
+    assert fitted.features == about["features"] and len(about["importances"]) == len(fitted.features)
+    for split in ("train", "test"):
+        stages.score(spark, work, split)
+    cfg = stages.tune(spark, root, work)
+    stages.evaluate(spark, root, work)
+    score = spark.read.json(f"{work}/reports/evaluation").first()
+    assert score["macro_f05"] > 0.8 and cfg == stages._decision(spark, work)
+    signals = {r["signal"] for r in spark.read.json(f"{work}/reports/singletons").collect()}
+    assert signals == {*models.SHAPE, "model"}
+    stages.link(spark, work, "test")
+    assert report(stages.audit(spark, work, "test")) == 0
+    assert "ok   matching_results_header" in capsys.readouterr().out
+
+
+def test_truth_in_the_index(spark):
+    lists = spark.createDataFrame([("S1-1", "S2-1,S3-9"), ("S1-2", ""), ("S1-3", " ")], "source1_entity_id string, matched_entity_ids string")
+    b = spark.createDataFrame([("S2-1",), ("S2-1",), ("S2-7",)], "entity_id string")
+    assert [tuple(r) for r in src.indexed_truth(lists, b).collect()] == [("S1-1", "S2-1")]
+    assert sorted(map(tuple, src.listed_counts(lists).collect())) == [("S1-1", 2), ("S1-2", 0), ("S1-3", 0)]
