@@ -45,7 +45,7 @@ from kinmark.llm.components import Forest, components
 
 TREES, DEPTH, SKETCH, REGION = 20, 6, 64, 32
 #: A cluster is confirmed in one block up to so many shingles (8 bytes each), beyond in blocks of so many texts.
-SMALL_CLUSTER, BLOCK = 4_000_000, 128
+SMALL_CLUSTER, BLOCK = 2_000_000, 128
 #: Partners that each component tests in a round across blocks; whatever is left then is found by ``completed``.
 ROUNDS = (1, 1, 4)
 #: Up to so many ids (8 bytes each) choose the texts that are shuffled by a broadcast; beyond, all texts are.
@@ -234,6 +234,12 @@ def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def _confirm(width: int, percent: int):
     """Rows (block, id, set, partners), sorted by block: the confirmed links that connect what a block can."""
 
+    def rarest(s: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The necessary prefix of a set by rarity, without shingles that no other set has."""
+        f = counts[np.searchsorted(seen, s)]
+        order = np.lexsort((s, f))[: len(s) - -(-percent * len(s) // 100) + 1]
+        return s[order][f[order] > 1]
+
     def settle(rows: list[tuple[int, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
         sets = {r[0]: r[1] for r in rows}
         forest, links = Forest(), []
@@ -253,23 +259,22 @@ def _confirm(width: int, percent: int):
         # whatever the forest's order has not put side by side: two similar sets share one of their rarest shingles,
         # and of two sets that are not connected yet one lies outside the largest component
         largest = max(roots, key=lambda r: (roots[r], -r))
+        ids = np.array(sorted(sets), dtype=np.int64)
+        sizes = np.array([len(sets[i]) for i in ids.tolist()])
         seen, counts = np.unique(np.concatenate([*sets.values()]), return_counts=True)
-        prefix = {}
-        for i, s in sets.items():
-            f = counts[np.searchsorted(seen, s)]
-            n = len(s) - -(-percent * len(s) // 100) + 1
-            order = np.lexsort((s, f))[:n]
-            prefix[i] = s[order][f[order] > 1].tolist()
-        index: dict[int, list[int]] = {}
-        for i in sorted(sets):
-            if forest.root(i) != largest:
-                for x in prefix[i]:
-                    index.setdefault(x, []).append(i)
-        for i in sorted(sets):
-            near = {j for x in prefix[i] for j in index.get(x, ())}
-            for j in sorted(near):
-                if 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])):
-                    test(i, j)
+        prefixes = [rarest(sets[i], seen, counts) for i in ids.tolist()]
+        owners = np.repeat(np.arange(len(ids)), list(map(len, prefixes)))
+        shingles = np.concatenate(prefixes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owners = shingles[order], owners[order]
+        for k, i in enumerate(ids.tolist()):
+            if forest.root(i) == largest:
+                continue
+            lo, hi = np.searchsorted(shingles, prefixes[k], "left"), np.searchsorted(shingles, prefixes[k], "right")
+            near = np.unique(np.concatenate([owners[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])) if len(lo) else owners[:0]
+            near = near[100 * np.minimum(sizes[near], sizes[k]) >= percent * np.maximum(sizes[near], sizes[k])]
+            for j in ids[near].tolist():
+                test(i, j)
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,7 +114,7 @@ def near_rows(groups, copies):
     return rows + [(n, None), (n + 1, ""), (n + 2, "one two"), (n + 3, "ONE two "), (n + 4, "\xa0"), (n + 5, "x " * 20000), (n + 6, "x " * 30000)]
 
 
-@pytest.mark.parametrize("block", [(4_000_000, 128), (300, 4)])
+@pytest.mark.parametrize("block", [(2_000_000, 128), (300, 4)])
 def test_near_components(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "SMALL_CLUSTER", block[0])
     monkeypatch.setattr(near_dedup, "BLOCK", block[1])
@@ -147,7 +147,7 @@ def test_near_components_of_a_large_template_group(spark, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == want
 
 
-@pytest.mark.parametrize("most", [4_000_000, 20_000])
+@pytest.mark.parametrize("most", [2_000_000, 20_000])
 def test_near_components_of_many_variants(spark, monkeypatch, most):
     """Variants of one text around the limit, in one block or in many: every link counts, and both ways are exact."""
     monkeypatch.setattr(near_dedup, "SMALL_CLUSTER", most)
