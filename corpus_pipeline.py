@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on the whole of what its predecessor kept. All stages but the
 last return the columns of ``documents``. Nulls, empty and repeated texts follow the operators' own definitions;
-documents are told apart by ``doc_id``.
+documents are told apart by ``doc_id``. Rows without an id are scored, tested for contamination and encoded like all
+others; they have no copies or repeats, and none of them is dropped for those. Rows that repeat an id and text stay as
+often as they came.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contaminates go."""
-    marks = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(marks.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the benchmark contaminates go. Rows are told apart by id and text, as ids may be null."""
+    key = F.struct("doc_id", F.xxhash64("text")).alias("key")
+    marks = decontaminate.contamination(docs.select(key, "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    goes = marks.where("contaminated").select(F.col("key.doc_id").alias("i"), F.col("key.col2").alias("h")).distinct()
+    return docs.join(goes, docs["doc_id"].eqNullSafe(goes["i"]) & (F.xxhash64(docs["text"]) == goes["h"]), "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
