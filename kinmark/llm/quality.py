@@ -7,8 +7,10 @@ document is the mean and the spread of its tokens' vectors over its whole text,
 and its share of distinct tokens. The network (one tanh layer, one logistic unit) is trained with Adam; a
 temperature fitted on training rows that the weights did not see calibrates its probabilities.
 
-Fitting uses at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of their id; scoring reads every
-whole text. Labels, ids, language and source are no inputs of a score, so equal texts have equal scores.
+Fitting, word vectors included, uses the whole texts of at most ``TRAIN_ROWS`` labelled rows, those with the smallest
+hash of their id (the driver holds them while it fits), and of their words at most ``MOST_WORDS`` that occur at least
+``LEAST_COUNT`` times; all three are bounds of the fit, whatever the corpus, and every other word is known by its
+written shape. Scoring reads every whole text. Labels, ids, language and source are no inputs of a score, so equal texts have equal scores.
 
 Defined results: null and empty texts are scored like a text without tokens. Rows with a null id are scored, and
 never learnt from (their remainder is unknown). Labels that are null, or whose document is missing, are skipped;
@@ -29,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmark.llm._common import fresh_name
+
 TRAIN_ROWS = 3000
 DIMS, NONZERO, HIDDEN, REACH, LEAST_COUNT, MOST_WORDS, TOKENS_KEPT = 64, 6, 24, 2, 3, 30_000, 400_000
 THRESHOLD = 0.7
@@ -38,7 +42,7 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 def written_shape(token: str) -> str:
     if token.isalpha():
         return "low" if token.islower() else "UP" if token.isupper() and len(token) > 1 else "Cap" if token[1:].islower() or len(token) == 1 else "miX"
-    marks = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in token[:64])
+    marks = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in token)
     return _RUNS.sub(r"\1+", marks)[:12]
 
 
@@ -198,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with its columns unchanged plus ``name``, the probability of label 1."""
+    """``docs`` with its columns unchanged plus the probability of label 1 as ``name``, lengthened if it is taken."""
+    name = fresh_name(docs, name)
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS vectors
 
     @F.pandas_udf("double")

@@ -69,6 +69,29 @@ def test_shards(spark):
     assert shuffle_shards.shuffled_shards(df.limit(0), "text", 7, 3).count() == 0
 
 
+def test_shards_against_a_plain_shuffle(spark):
+    """Buckets, order, permutation and dealing recomputed by hand, on a table in which one text has a third of the rows."""
+    rows = [(i, "hot" if i % 3 == 0 else words(i % 30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in shuffle_shards.shuffled_shards(df, "text", 5, 9, bucket_bytes=3000).collect()}
+    total = sum(len(t.encode()) + 64 for _, t in rows)
+    n = -(-total // 3000)
+    buckets = {}
+    for r in df.selectExpr("doc_id", "text", f"pmod(xxhash64(9, doc_id, text), {n}) AS b").collect():
+        buckets.setdefault(r["b"], []).append((r["doc_id"], r["text"]))
+    assert n > 3 and len(buckets) > 3
+    place = 0
+    for b in sorted(buckets):
+        held = sorted(buckets[b])
+        draw = np.random.Generator(np.random.PCG64(np.random.SeedSequence([9, b]))).random(max(0, len(held) - 1))
+        for k, i in enumerate(range(len(held) - 1, 0, -1)):
+            j = int(draw[k] * (i + 1))
+            held[i], held[j] = held[j], held[i]
+        for k, (doc, _) in enumerate(held):
+            assert got[doc] == ((place + k) % 5, (place + k) // 5)
+        place += len(held)
+
+
 def test_fisher_yates():
     assert sorted(shuffle_shards.fisher_yates(50, 1, 2)) == list(range(50)) and len(shuffle_shards.fisher_yates(0, 1, 2)) == 0
     firsts = [shuffle_shards.fisher_yates(4, 1, b)[0] for b in range(400)]
@@ -209,6 +232,8 @@ def test_cut_repeats(spark, splits):
     for i in range(120):
         t = "".join(x[(a := R.randint(0, 200)) : a + R.randint(10, 250)] + R.choice(["", "", "z" * R.randint(1, 130), "é"]) for x in R.choices(base, k=R.randint(0, 4)))
         rows.append((i, t))
+    hot = "".join(R.choices("abc d", k=160))  # a passage that a third of the documents share, between texts of their own
+    rows += [(300 + i, "".join(R.choices("xyzé ", k=R.randint(0, 90))) + hot + "".join(R.choices("xyzé ", k=R.randint(0, 90)))) for i in range(60)]
     rows += [(200, None), (201, ""), (202, "q" * 99), (203, "q" * 100), (204, "q" * 400), (205, "xy" * 300), (-3, base[0]), (10**12, base[0])]
     before = suffix_dedup.SPLITS
     try:
@@ -219,6 +244,8 @@ def test_cut_repeats(spark, splits):
         suffix_dedup.SPLITS = before
     lone = out.pop(None)
     assert out == brute_cuts(rows) and lone[1] == 0
+    twice = df.where("doc_id in (204, 205)").union(df.where("doc_id = 204"))
+    assert sorted(r["doc_id"] for r in suffix_dedup.cut_repeats(twice, "doc_id", "text").collect()) == [204, 204, 205]
     rest = suffix_dedup.cut_repeats(df.where("doc_id = 204"), "doc_id", "text", with_text=True).first()
     assert rest["kept_text"] == "q"
     assert suffix_dedup.cut_repeats(df.limit(0), "doc_id", "text").count() == 0

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kinmark.llm import bpe, html_extract, html_train, quality, spotsigs
+from kinmark.llm import bpe, html_extract, html_train, quality, queries, spotsigs
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " ", "a", "é́", "ΑΣ ας", "<|endoftext|>x", "It's 12%%% fine!!", "x" * 5000, "a b " * 3000, "\x1c\x85　"]
@@ -111,6 +111,8 @@ def test_quality_held_out(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(None, "x y", "x"), (900, None, "x"), (901, "", "x"), (902, "z " * 30000, "x")], "doc_id long, text string, Score string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (7777, 0), (3, None), (1, rows[1][2])], "doc_id long, quality int")
     model = quality.fit(docs, labels)
+    clash = quality.score(docs, model, name="SCORE")
+    assert clash.columns == [*docs.columns, "_SCORE"] and {r["Score"] for r in clash.collect()} == {"x"}
     got = {r["doc_id"]: r["p"] for r in quality.score(docs, model, name="p").collect()}
     held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((p >= quality.THRESHOLD) == bool(y) for p, y in held) / len(held) > 0.97
@@ -121,6 +123,21 @@ def test_quality_held_out(spark):
     assert quality.score(docs.limit(3), none, name="p").agg({"p": "max"}).first()[0] == 0.5
 
 
+def test_quality_query_on_the_tables(spark):
+    """Held-out accuracy of the registered query, and its parts recomputed."""
+    d = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op9_quality(spark, d).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert {*got} == {*texts}
+    by_text = {}
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1
+        assert by_text.setdefault(texts[i], r["score"]) == r["score"]
+    held = [(got[i]["predicted"], y) for i, y in labels.items() if got[i]["held_out"]]
+    assert len(held) > 50 and sum(p == y for p, y in held) / len(held) >= 0.9
+
+
 def plain_spots(text):
     """The spots by their definition, word by word."""
     tokens, word = [], ""
