@@ -17,9 +17,11 @@ result. Of two equal rules with different verdicts the one listed last holds.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import re
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from kinmark.llm._common import schema_of
 
 _SPLIT = re.compile(r"([^/?#]*)([^?#]*)", re.S)
-_SENT: set[tuple[str, str]] = set()
+#: (application, digest of the list) to the stem of its files.
+_SENT: dict[tuple[str, str], str] = {}
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -106,17 +109,19 @@ class DigestArray:
 
 
 def ship_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Write the files on the driver and hand them to every executor, also to those that start later; a list
-    that the application has already is not sent again."""
-    folder = tempfile.mkdtemp(prefix="kinmark-rules-")
-    stem = DigestArray.write(folder, rules)
-    app = spark.sparkContext.applicationId
-    if (app, stem) in _SENT:
-        return stem
-    _SENT.add((app, stem))
-    for kind in ("keys", "starts", "heap", "lengths"):
-        spark.sparkContext.addFile(os.path.abspath(os.path.join(folder, f"{stem}.{kind}")))
-    return stem
+    """Hand the files of a rule list to every executor through the application's own file server, also to those that
+    start later; a list that the application has already is neither written nor sent again."""
+    rules = list(rules)
+    key = (spark.sparkContext.applicationId, hashlib.sha256(repr(rules).encode()).hexdigest())
+    if key not in _SENT:
+        folder = tempfile.mkdtemp(prefix="kinmark-rules-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the file server reads it until then
+        stem = DigestArray.write(folder, rules)
+        if stem not in {s for (app, _), s in _SENT.items() if app == key[0]}:
+            for kind in ("keys", "starts", "heap", "lengths"):
+                spark.sparkContext.addFile(os.path.abspath(os.path.join(folder, f"{stem}.{kind}")))
+        _SENT[key] = stem
+    return _SENT[key]
 
 
 def filter_urls(df: DataFrame, id_col: str, url_col: str, rules: Iterable[tuple[str, str, str]], otherwise: str = "allow") -> DataFrame:
