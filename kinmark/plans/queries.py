@@ -13,7 +13,7 @@ from kinmark.operators import blocking, decisions, models, pairwise, ranking, re
 from kinmark.operators.decisions import DecisionConfig
 from kinmark.plans import oracle as sql
 from kinmark.plans.funnel import Funnel
-from kinmark.session import ensure_package
+from kinmark.session import ensure_package, spread
 from kinmark.sources import records as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs_records(spark: SparkSession, d: str) -> DataFrame:
-    return src.documents_as_records(read(spark, d, "documents"))
+    return src.documents_as_records(spread(read(spark, d, "documents")))
 
 
 def funnel(spark: SparkSession, d: str) -> Funnel:
@@ -189,7 +189,7 @@ def _(spark, d):
 
 @query("benchmark_overlap", sql.after("ranked", "SELECT a_id, b_id, n_keys, round(score, 9) AS score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 20", rec=sql.PASSAGES))
 def _(spark, d):
-    f = Funnel(src.passages_as_records(read(spark, d, "benchmark"), read(spark, d, "documents")))
+    f = Funnel(src.passages_as_records(read(spark, d, "benchmark"), spread(read(spark, d, "documents"))))
     return f.survivors.select("a_id", "b_id", "n_keys", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
 
@@ -40,3 +40,10 @@ def ensure_package(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     spark.sparkContext.addPyFile(target)
     _SHIPPED[app] = target
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than the session has cores (one small file, whose row group is one task) is dealt
+    out over all of them; any other is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
