@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmark.session import ensure_package
+from kinmark.session import ensure_package, spread
 
 _LOCAL: dict[str, str] = {}
 
@@ -62,7 +62,7 @@ def arrow_limits(spark: SparkSession, mb: int = 16) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_or_empty(name: str = "text") -> Column:
