@@ -172,5 +172,19 @@ PASSAGES = """SELECT 'S1-' || (item_id * 1000000 + i) AS entity_id, 1 AS src, 'a
   UNION ALL SELECT 'S2-' || (doc_id * 1000000 + i), 2, 'all', array_to_string(w[9 * i + 1:9 * i + 18], ' '), ''
   FROM (SELECT *, unnest(generate_series(0, greatest(0, (len(w) - 10) // 9))) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM documents))"""
 
+
+
+def common_length(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two string columns: the table's rows, folded over the first."""
+    letter = lambda t, i: f"unicode(substr({t}, {i}, 1))::BIGINT"
+    matched = f"list_max(list_transform(list_filter(generate_series(1, j), lambda k: {letter(y, 'k')} = c[1]), lambda k: r[k] + 1))"
+    row = f"list_transform(generate_series(0, length({y})), lambda j: greatest(r[j + 1], coalesce({matched}, 0)))"
+    return f"list_reduce(list_transform(generate_series(1, length({x})), lambda i: [{letter(x, 'i')}]), lambda r, c: {row}, list_transform(generate_series(0, length({y})), lambda j: 0::BIGINT))[length({y}) + 1]"
+
+
+def indel_ratio(x: str, y: str) -> str:
+    return f"CASE WHEN {x} = '' AND {y} = '' THEN 1.0 ELSE 2 * {common_length(x, y)} / (length({x}) + length({y})) END"
+
+
 FAMILY_ROWS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FAMILIES))
 SCRIPT_CASES = " ".join(f"WHEN regexp_matches(c, '\\p{{{s}}}') THEN '{s.upper()}'" for s in SCRIPTS)

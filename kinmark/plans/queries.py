@@ -230,8 +230,21 @@ _short("levenshtein_sim", "round(1 - levenshtein(x, y) / greatest(length(x), len
 _short("jaro_winkler_sim", "round(jaro_winkler_similarity(x, y), 6)", lambda x, y: F.round(sim.metric("jw", x, y), 6))
 _short("token_sort", "array_to_string(list_sort(string_split(x, ' ')), ' ') || '|' || array_to_string(list_sort(string_split(y, ' ')), ' ')", lambda x, y: F.concat_ws("|", tx.joined(F.split(x, " ")), tx.joined(F.split(y, " "))))
 _short("prefix_sim", "round(coalesce(list_max(list_filter(generate_series(0, least(length(x), length(y))), lambda n: x[1:n] = y[1:n])), 0) / greatest(length(x), length(y)), 9)", lambda x, y: F.round(sim.prefix_similarity(x, y), 9))
-for _name, _kind in (("indel_ratio", "ratio"), ("token_sort_ratio", "toksort"), ("token_set_ratio", "tokset"), ("partial_ratio", "partial")):
-    _short(_name, None, lambda x, y, k=_kind: F.round(sim.metric(k, x, y), 9))
+_SORTED = {c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')" for c in "xy"}
+_RESTS = ", ".join(f"array_to_string(list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda w: NOT list_contains(string_split({o}, ' '), w)))), ' ') AS r{c}" for c, o in ("xy", "yx"))
+_TOKEN_SET = f"""WITH s AS ({_SHORT}), t AS (SELECT x, y, {_RESTS}, length(array_to_string(list_intersect(string_split(x, ' '), string_split(y, ' ')), ' ')) AS n FROM s),
+  u AS (SELECT *, CASE WHEN n > 0 THEN 1 ELSE 0 END AS gap, length(rx) + length(ry) - 2 * {sql.common_length("rx", "ry")} AS edits FROM t)
+  SELECT x, y, round(CASE WHEN n > 0 AND (rx = '' OR ry = '') THEN 1.0 ELSE greatest(1 - edits / (2 * (n + gap) + length(rx) + length(ry)), CASE WHEN n > 0 THEN greatest(1 - (gap + length(rx)) / (2 * n + gap + length(rx)), 1 - (gap + length(ry)) / (2 * n + gap + length(ry))) ELSE 0.0 END) END, 9) AS v FROM u"""
+_PARTIAL = f"""WITH s AS ({_SHORT}), turns AS (SELECT x, y, x AS a, y AS b FROM s WHERE length(x) <= length(y) UNION ALL SELECT x, y, y, x FROM s WHERE length(y) <= length(x)),
+  places AS (SELECT *, unnest(generate_series(1 - length(a), length(b) - 1)) AS k FROM turns),
+  cut AS (SELECT x, y, a, substr(b, greatest(k, 0) + 1, least(k + length(a), length(b)) - greatest(k, 0)) AS w FROM places)
+  SELECT x, y, round(max({sql.indel_ratio("a", "w")}), 9) AS v FROM cut GROUP BY x, y"""
+for _name, _kind, _text in (
+    ("indel_ratio", "ratio", f"WITH s AS ({_SHORT}) SELECT x, y, round({sql.indel_ratio('x', 'y')}, 9) AS v FROM s"),
+    ("token_sort_ratio", "toksort", f"WITH s AS ({_SHORT}), t AS (SELECT x, y, {_SORTED['x']} AS a, {_SORTED['y']} AS b FROM s) SELECT x, y, round({sql.indel_ratio('a', 'b')}, 9) AS v FROM t"),
+    ("token_set_ratio", "tokset", _TOKEN_SET), ("partial_ratio", "partial", _PARTIAL),
+):
+    query(_name, _text)(lambda s, d, k=_kind: _short_pairs(s, d).select("x", "y", F.round(sim.metric(k, F.col("x"), F.col("y")), 9).alias("v")))
 
 # pairwise features ---------------------------------------------------------------------------------------------------
 
