@@ -1,4 +1,4 @@
-"""Ranker and matcher models on MLlib (CF5-CF6, ML1-ML4)."""
+"""Ranker, matcher and singleton models on MLlib (CF5-CF6, ML1-ML4), their files (SK6) and entity splits (PF11)."""
 
 from __future__ import annotations
 
