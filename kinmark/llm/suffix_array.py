@@ -1,4 +1,4 @@
-"""Linear-time suffix sorting by Lyndon-prefix groups.
+"""Suffix sorting by Lyndon-prefix groups, linear but for one sort of each group's members by place.
 
 Suffixes start in one group for each first symbol. Groups are visited in descending order; each member points to
 the nearest earlier suffix of a smaller group, and the suffixes pointed at move into new groups right above their

@@ -25,7 +25,7 @@ with a null id are neither compared nor changed. An empty table gives an empty r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +116,9 @@ def anchors(docs: DataFrame, with_digests: bool) -> DataFrame:
     return docs.where("id is not null").mapInArrow(run, "h long, id long, q long, d long")
 
 
-def _split_of(count: int) -> int:
+def _split_of(count: int, splits: Sequence[tuple[int, int]]) -> int:
     width = SPAN
-    for least, offsets in SPLITS:
+    for least, offsets in splits:
         if count >= least:
             width = offsets
     return width
@@ -127,51 +127,55 @@ def _split_of(count: int) -> int:
 _CONTEXT = "key long, a int, b int, ctx binary, id long, p long"
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(splits: Sequence[tuple[int, int]]):
     """Rows (id, text, list of (h, q, n)), by ascending id, to contexts; those met in a task already are left out
     (the earlier one stands for them)."""
-    met: set[tuple] = set()
-    out: list[tuple] = []
 
-    def emit() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "a", "b", "ctx", "id", "p"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple] = set()
+        out: list[tuple] = []
 
-    for batch in batches:
-        for i, text, spots in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if len(met) >= CONTEXTS_KEPT:
-                met.clear()
-            data = (text or "").encode("utf-8", "surrogatepass")
-            for spot in sorted(spots, key=lambda x: x["q"]):
-                q, h = spot["q"], spot["h"]
-                p, a, b = q >> 16, (q >> 8) & 255, q & 255
-                if not spot["n"]:  # all contexts of the hash are equal: no bytes needed
-                    if (h,) not in met:
-                        met.add((h,))
-                        out.append((h, a, b, b"", i, p))
-                    continue
-                width = _split_of(spot["n"])
-                parts = [(h, a, b)]
-                if width < SPAN:
-                    parts = []
-                    for low in range(b // width * width, a + 1, width):
-                        hi, lo = min(a, low + width - 1), max(b, low)
-                        core = data[p - low : p - low - width + 1 + LENGTH]  # covered by every window of this part
-                        parts.append((xxhash.xxh3_64_intdigest(core, seed=low) - (1 << 63), hi, lo))
-                for key, hi, lo in parts:
-                    ctx = data[p - hi : p - lo + LENGTH]
-                    mark = (key, hi, lo, ctx)
-                    if mark in met:
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "a", "b", "ctx", "id", "p"])
+
+        for batch in batches:
+            for i, text, spots in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if len(met) >= CONTEXTS_KEPT:
+                    met.clear()
+                data = (text or "").encode("utf-8", "surrogatepass")
+                for spot in sorted(spots, key=lambda x: x["q"]):
+                    q, h = spot["q"], spot["h"]
+                    p, a, b = q >> 16, (q >> 8) & 255, q & 255
+                    if not spot["n"]:  # all contexts of the hash are equal: no bytes needed
+                        if (h,) not in met:
+                            met.add((h,))
+                            out.append((h, a, b, b"", i, p))
                         continue
-                    if len(met) >= CONTEXTS_KEPT:
-                        met.clear()
-                    met.add(mark)
-                    out.append((key, hi, lo, ctx, i, p))
-            if len(out) >= 5000:
-                yield emit()
-                out.clear()
-    yield emit()
+                    width = _split_of(spot["n"], splits)
+                    parts = [(h, a, b)]
+                    if width < SPAN:
+                        parts = []
+                        for low in range(b // width * width, a + 1, width):
+                            hi, lo = min(a, low + width - 1), max(b, low)
+                            core = data[p - low : p - low - width + 1 + LENGTH]  # covered by every window of this part
+                            parts.append((xxhash.xxh3_64_intdigest(core, seed=low) - (1 << 63), hi, lo))
+                    for key, hi, lo in parts:
+                        ctx = data[p - hi : p - lo + LENGTH]
+                        mark = (key, hi, lo, ctx)
+                        if mark in met:
+                            continue
+                        if len(met) >= CONTEXTS_KEPT:
+                            met.clear()
+                        met.add(mark)
+                        out.append((key, hi, lo, ctx, i, p))
+                if len(out) >= 5000:
+                    yield emit()
+                    out.clear()
+        yield emit()
+
+    return run
 
 
 def _first_windows(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +320,8 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     """id, spots: each document's anchors whose hash occurs more than once, with the number of occurrences, or 0
     where all their contexts are equal."""
     counts = anchors(docs, True).groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("n > 1")
-    counts = counts.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("n"))
+    # stored, so that the join has a shuffle of its own on either side and adaptive execution can split a frequent hash
+    counts = stored(counts.select("h", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("n")), "counts")
     return anchors(docs, False).select("h", "id", "q").join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "q", "n")).alias("spots"))
 
 
@@ -333,7 +338,7 @@ def cut_repeats(df: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     whole = docs.where("id is not null").join(spots.where("id is not null"), "id", "left")
     # by id, as the earliest of equal contexts is the one that a task passes on (a merge join has sorted already)
     repeated = whole.where("spots is not null").select("id", "text", "spots").sortWithinPartitions("id")
-    contexts = repeated.mapInArrow(_contexts, _CONTEXT)
+    contexts = repeated.mapInArrow(_contexts(SPLITS), _CONTEXT)
     firsts = contexts.repartition(n, "key").sortWithinPartitions("key", "id", "p").mapInArrow(_firsts, "id long, q long")
     kept = firsts.groupBy("id").agg(F.collect_list("q").alias("firsts"))
     both = whole.join(kept, "id", "left").select("id", "text", F.transform("spots", lambda x: x["q"]).alias("repeats"), "firsts")
