@@ -3,8 +3,8 @@
 Each round points every node's larger neighbours to the smallest node around it (large star) and then every
 node's smaller neighbours to the smallest of them (small star); the graph is a forest of stars when a round
 changes nothing. Links are first contracted inside each partition by union-find, which leaves a spanning forest.
-Minima are pre-aggregated before the shuffle, and the joins against them are plain equi-joins, so adaptive
-execution can split a node with very many links. Each round is stored in the shared folder, which cuts lineage.
+Minima are pre-aggregated before the shuffle and stored, so that the joins against them have a shuffle of their own
+on either side and adaptive execution can split a node with very many links. Each round is stored in the shared folder, which cuts lineage.
 """
 
 from __future__ import annotations
@@ -78,9 +78,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if several.isEmpty() and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break  # every node hangs on one root, and no root on another
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "large")
+        below = stored(large.groupBy("a").agg(F.min("b").alias("m")), "below")
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(below, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b")
         edges = stored(contracted(small.distinct().coalesce(few)), "links")

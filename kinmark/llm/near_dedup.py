@@ -11,7 +11,7 @@
    those that nearer candidates connect already: they are in one cluster anyhow, and step 3 looks at all of it.
 3. Candidates are grouped into clusters. A cluster's sets are brought together once, in blocks of bounded size, and
    links are confirmed exactly with integers: the candidates first, then all pairs of the block that are not
-   connected and share one of their rarest shingles. Candidates across the blocks of a large cluster are confirmed
+   connected and share one of their rarest shingles, at places that leave enough in common. Candidates across the blocks of a large cluster are confirmed
    in rounds: each component tests its most alike partners first, and pairs connected meanwhile drop out.
 4. What a cluster of several blocks still lacks has an end outside its largest component. Those sets are joined with
    all sets of the cluster on their rarest shingles (the necessary prefix, with the length bound) and verified on
@@ -234,11 +234,12 @@ def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def _confirm(width: int, percent: int):
     """Rows (block, id, set, partners), sorted by block: the confirmed links that connect what a block can."""
 
-    def rarest(s: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The necessary prefix of a set by rarity, without shingles that no other set has."""
+    def rarest(s: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The necessary prefix of a set by rarity, without shingles that no other set has, and its places."""
         f = counts[np.searchsorted(seen, s)]
         order = np.lexsort((s, f))[: len(s) - -(-percent * len(s) // 100) + 1]
-        return s[order][f[order] > 1]
+        places = np.flatnonzero(f[order] > 1)
+        return s[order][places], places
 
     def settle(rows: list[tuple[int, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
         sets = {r[0]: r[1] for r in rows}
@@ -263,17 +264,20 @@ def _confirm(width: int, percent: int):
         sizes = np.array([len(sets[i]) for i in ids.tolist()])
         seen, counts = np.unique(np.concatenate([*sets.values()]), return_counts=True)
         prefixes = [rarest(sets[i], seen, counts) for i in ids.tolist()]
-        owners = np.repeat(np.arange(len(ids)), list(map(len, prefixes)))
-        shingles = np.concatenate(prefixes)
+        owners = np.repeat(np.arange(len(ids)), [len(x) for x, _ in prefixes])
+        shingles, places = (np.concatenate(x) for x in zip(*prefixes, strict=True))
         order = np.argsort(shingles, kind="stable")
-        shingles, owners = shingles[order], owners[order]
+        shingles, owners, places = shingles[order], owners[order], places[order]
         for k, i in enumerate(ids.tolist()):
-            if forest.root(i) == largest:
+            own, at = prefixes[k]
+            if forest.root(i) == largest or not len(own):
                 continue
-            lo, hi = np.searchsorted(shingles, prefixes[k], "left"), np.searchsorted(shingles, prefixes[k], "right")
-            near = np.unique(np.concatenate([owners[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])) if len(lo) else owners[:0]
-            near = near[100 * np.minimum(sizes[near], sizes[k]) >= percent * np.maximum(sizes[near], sizes[k])]
-            for j in ids[near].tolist():
+            lo, hi = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+            met = np.concatenate([np.arange(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
+            near = owners[met]
+            # from a pair's first common shingle on, no more can be shared than the shorter rest has
+            most = np.minimum(sizes[k] - np.repeat(at, hi - lo), sizes[near] - places[met])
+            for j in ids[np.unique(near[most * (100 + percent) >= percent * (sizes[k] + sizes[near])])].tolist():
                 test(i, j)
         return links
 
@@ -330,7 +334,7 @@ def completed(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int,
     A link that is still missing has an end outside the cluster's largest component. With a cluster's shingles ordered
     by rarity, two similar sets share one of the first n - ceil(n * percent / 100) + 1 shingles of either; so the
     prefixes of the sets outside are joined with those of all sets of the cluster (an equi-join, whose frequent keys
-    adaptive execution splits), and pairs of fitting sizes are verified on whole sets."""
+    adaptive execution splits), and pairs whose sizes and places leave enough in common are verified on whole sets."""
     known = stored(members.join(roots, "id", "left").select("id", "cluster", "n", F.coalesce("root", "id").alias("known")), "known")
     counts = known.groupBy("cluster", "known").agg(F.count("*").alias("c"))
     main = counts.groupBy("cluster").agg(F.max(F.struct("c", (-F.col("known")).alias("k"))).alias("m"), F.count("*").alias("parts"))
@@ -343,10 +347,12 @@ def completed(docs: DataFrame, members: DataFrame, roots: DataFrame, width: int,
     rarity = each.groupBy("cluster", "x").agg(F.count("*").alias("f"))
     ordered = each.join(rarity, ["cluster", "x"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
     n = F.size("o")
-    prefix = ordered.select("id", F.slice("o", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")).alias("o"))
-    prefix = stored(prefix.join(known, "id").select("id", "cluster", "n", "known", "outer", F.explode("o").alias("o")).where("o.f > 1").select("*", "o.x").drop("o"), "prefixes")
-    side = lambda p: prefix.select("cluster", "x", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "known", "outer")))
-    fits = (F.col("a_known") != F.col("b_known")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    prefix = ordered.select("id", F.posexplode(F.slice("o", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("at", "o")).where("o.f > 1")
+    prefix = stored(prefix.join(known, "id").select("id", "cluster", "n", "known", "outer", "at", F.col("o.x").alias("x")), "prefixes")
+    side = lambda p: prefix.select("cluster", "x", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "known", "outer", "at")))
+    # from a pair's first common shingle on, no more can be shared than the shorter rest has
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    fits = (F.col("a_known") != F.col("b_known")) & (most * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n")))
     once = ~F.col("b_outer") | (F.col("a_id") < F.col("b_id"))  # two sets outside meet from both sides
     pairs = side("a").where("a_outer").join(side("b"), ["cluster", "x"]).where(fits & once).select("a_id", "b_id").distinct()
     whole = lambda p: sets.select(F.col("id").alias(f"{p}_id"), F.col("shingles").alias(p))
