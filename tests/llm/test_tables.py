@@ -1,8 +1,11 @@
 """Operators over whole tables against brute force, with awkward rows."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -200,6 +203,22 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {50: 50, 60: 50, 100: 50}
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    """More links than one task contracts: a hub with a third of all nodes, long chains, and lone pairs."""
+    monkeypatch.setattr(components, "LINKS_AT_ONCE", 20)
+    r = random.Random(17)
+    links = [(1000, i) for i in range(1001, 1101)] + [(i, i + 1) for i in range(120)] + [(500 + 2 * i, 501 + 2 * i) for i in range(30)]
+    links += [(2000 + r.randrange(60), 2000 + r.randrange(60)) for _ in range(60)]
+    links = [(a, b) for a, b in links if a != b]
+    r.shuffle(links)
+    forest = components.Forest()
+    for a, b in links:
+        forest.join(a, b)
+    nodes = {x for link in links for x in link}
+    got = {x["id"]: x["root"] for x in components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert got == {x: forest.root(x) for x in nodes}
+
+
 # suffix arrays ---------------------------------------------------------------------------------------------------------
 
 
@@ -226,7 +245,8 @@ def brute_cuts(rows, n=100):
 
 
 @pytest.mark.parametrize("splits", [suffix_dedup.SPLITS, ((3, 16), (12, 4), (40, 1))])
-def test_cut_repeats(spark, splits):
+def test_cut_repeats(spark, monkeypatch, splits):
+    monkeypatch.setattr(suffix_dedup, "SPLITS", splits)
     base = ["".join(R.choices("ab é", k=300)) for _ in range(5)]
     rows = []
     for i in range(120):
@@ -235,13 +255,8 @@ def test_cut_repeats(spark, splits):
     hot = "".join(R.choices("abc d", k=160))  # a passage that a third of the documents share, between texts of their own
     rows += [(300 + i, "".join(R.choices("xyzé ", k=R.randint(0, 90))) + hot + "".join(R.choices("xyzé ", k=R.randint(0, 90)))) for i in range(60)]
     rows += [(200, None), (201, ""), (202, "q" * 99), (203, "q" * 100), (204, "q" * 400), (205, "xy" * 300), (-3, base[0]), (10**12, base[0])]
-    before = suffix_dedup.SPLITS
-    try:
-        suffix_dedup.SPLITS = splits  # read on the driver's side only where workers are forked; the order is the same
-        df = spark.createDataFrame([(i, t, "q") for i, t in rows] + [(None, base[0], "q")], "doc_id long, text string, N_BYTES string")
-        out = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.cut_repeats(df, "doc_id", "text").collect()}
-    finally:
-        suffix_dedup.SPLITS = before
+    df = spark.createDataFrame([(i, t, "q") for i, t in rows] + [(None, base[0], "q")], "doc_id long, text string, N_BYTES string")
+    out = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.cut_repeats(df, "doc_id", "text").collect()}
     lone = out.pop(None)
     assert out == brute_cuts(rows) and lone[1] == 0
     twice = df.where("doc_id in (204, 205)").union(df.where("doc_id = 204"))
@@ -258,22 +273,19 @@ def test_split_groups_give_the_same_windows():
     base = "".join(R.choices("abc", k=260))
     texts = ["".join([R.choice("xyz"), base[: R.randint(120, 260)], R.choice("xyz")]) for _ in range(12)]
     want = brute_cuts(list(enumerate(texts)))
-    before = suffix_dedup.SPLITS
     for splits in (((10**9, 1),), ((2, 16),), ((2, 4),), ((2, 1),)):
-        suffix_dedup.SPLITS = splits
         data = b"".join(t.encode() for t in texts)
         starts = np.cumsum([0, *[len(t) for t in texts[:-1]]])
         d, p, a, b, h = suffix_dedup._anchors(np.frombuffer(data, np.uint8), starts)
         count = {x: int((h == x).sum()) for x in set(h.tolist())}
         spots = [[{"h": int(h[k]), "q": int(p[k] << 16 | a[k] << 8 | b[k]), "n": count[int(h[k])]} for k in np.flatnonzero(d == i) if count[int(h[k])] > 1] for i in range(len(texts))]
         batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts, "spots": pa.array(spots, pa.list_(pa.struct([("h", pa.int64()), ("q", pa.int64()), ("n", pa.int64())])))})
-        rows = sorted((r for x in suffix_dedup._contexts(iter([batch])) for r in zip(*(c.to_pylist() for c in x.columns))), key=lambda r: (r[0], r[4], r[5]))
+        rows = sorted((r for x in suffix_dedup._contexts(splits)(iter([batch])) for r in zip(*(c.to_pylist() for c in x.columns))), key=lambda r: (r[0], r[4], r[5]))
         table = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])], names=list("kabcip"))
         firsts = [r for x in suffix_dedup._firsts(iter([table])) for r in zip(*(c.to_pylist() for c in x.columns))]
         for i, t in enumerate(texts):
             lo, hi = suffix_dedup.removed_spans(len(t), [s["q"] for s in spots[i]], [q for k, q in firsts if k == i]) if spots[i] else ([], [])
             assert sum(int(y - x) for x, y in zip(lo, hi)) == want[i][1]
-    suffix_dedup.SPLITS = before
 
 
 # decontamination ---------------------------------------------------------------------------------------------------------
@@ -339,6 +351,82 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0), "doc_id", "path", "text").count() == 0
 
 
+def plain_scan(rows):
+    """The scan by its definitions: every line against every announcement, every window against every text, no bound."""
+    cut = lambda t: re.findall(license_scan.WORD, t.lower())
+    speaks = re.compile(license_scan.SPEAKS)
+    lines = {k: [x.strip(" ") for x in (t or "").split("\n") if speaks.search(x)] for k, (_, t) in enumerate(rows)}
+    distinct = {x for of in lines.values() for x in of}
+    announced = [(name, Counter(cut(t))) for name, t in license_scan.TEMPLATES]
+    df = Counter(w for unit in [*(Counter(cut(x)) for x in distinct), *(c for _, c in announced)] for w in unit)
+    total = len(distinct) + len(announced)
+
+    def cosine(a, b, idf, unseen, damp):
+        tf = lambda n: 1 + math.log(n) if damp else n
+        va, vb = ({w: tf(n) * idf.get(w, unseen) for w, n in x.items()} for x in (a, b))
+        dot = sum(v * vb.get(w, 0.0) for w, v in va.items())
+        return round(dot / math.sqrt(sum(v * v for v in va.values()) * sum(v * v for v in vb.values())), 6) if dot else 0.0
+
+    idf = {w: math.log((total + 1) / (n + 1)) + 1 for w, n in df.items()}
+    best = lambda unit, least: min(((-c, name) for name, t in announced if (c := cosine(unit, t, idf, math.log(total + 1) + 1, False)) >= least), default=None)
+    texts = [(name, cut(t)) for name, t in license_scan.text_templates()]
+    spread = Counter(w for _, t in texts for w in {*t})
+    rare = {w: math.log((len(texts) + 1) / (n + 1)) + 1 for w, n in spread.items()}
+    marked = []
+    for k, (path, text) in enumerate(rows):
+        heads = [m for x in lines[k] if (m := best(Counter(cut(x)), license_scan.LEAST))]
+        w, windows, whole = cut(text or ""), [], []
+        for name, t in texts:
+            n, step, last = len(t), max(1, len(t) // 8), max(1, len(w) - len(t) + 1)
+            for start in [0, *range(1, last + 1, step), last] if w else []:
+                c = cosine(Counter(w[start - 1 : start - 1 + n] if start else w), Counter(t), rare, math.log(len(texts) + 1) + 1, True)
+                if c >= license_scan.LEAST_TEXT:
+                    windows.append((-c, name))
+                    whole += [] if start else [(-c, name)]
+        whole += [f] if heads and (f := best(Counter(w), license_scan.LEAST_FILE)) else []
+        marked.append((path, len(heads) + bool(windows), min(heads + windows, default=None), min(whole, default=None)))
+    folder = lambda p: p.rpartition("/")[0]
+    speakers = {}
+    for path, _, _, f in marked:
+        if f and path is not None:
+            speakers[folder(path)] = min(f, speakers.get(folder(path), f))
+    out = []
+    for path, n, own, f in marked:
+        above = None
+        if own is None and path is not None:
+            parts = folder(path).split("/")
+            above = next((d for k in range(len(parts), 0, -1) if (d := "/".join(parts[:k])) in speakers), None)
+        out.append((n, own and own[1], own and -own[0], f is not None, own[1] if own else above is not None and speakers[above][1] or None, above))
+    return out
+
+
+def test_license_scan_against_its_definitions(spark):
+    r = random.Random(13)
+    known, pieces = license_scan.text_templates(), [t for _, t in license_scan.TEMPLATES] + ["we licensed it to many people in town", "no license here, version 2", "SPDX or not", "A public domain work of GNU"]
+    legal = [w for _, t in known for w in t.split()]
+    rows = []
+    for k in range(70):
+        parts = [" ".join(r.choices(WORDS, k=r.randint(0, 30))) for _ in range(r.randint(1, 4))]
+        if r.random() < 0.4:
+            parts.insert(r.randrange(len(parts) + 1), "  " + r.choice(pieces) + r.choice(["", " " + words(3)]))
+        if r.random() < 0.25:
+            short = r.choice([t for _, t in known if len(t) < 2500]).split()
+            parts.insert(r.randrange(len(parts) + 1), " ".join(w if r.random() < 0.9 else r.choice(WORDS) for w in short))
+        if r.random() < 0.2:
+            parts.append(" ".join(r.choices(legal, k=150)))
+        if r.random() < 0.15:
+            parts = [r.choice(pieces + [t for _, t in known if len(t) < 2500])]
+        rows.append((r.choice([None, f"x{k}", f"a/{k}", f"a/b/{k}", f"a/b/c/{k}", f"d/e/{k}"]), "\n".join(parts) if r.random() < 0.95 else None))
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, path string, text string")
+    got = {x["doc_id"]: x for x in license_scan.scan(df, "doc_id", "path", "text").collect()}
+    want = plain_scan(rows)
+    assert sum(w[1] is not None for w in want) > 20 and sum(w[3] for w in want) > 3 and sum(w[5] is not None for w in want) > 5
+    for k, w in enumerate(want):
+        x = got[k]
+        assert (x["n_headers"], x["own"], x["is_license_file"], x["license"], x["from_dir"]) == (w[0], w[1], w[3], w[4], w[5]), k
+        assert (x["own_score"] is None) == (w[2] is None) and (w[2] is None or abs(x["own_score"] - w[2]) < 2e-6)
+
+
 def test_license_texts(spark):
     known = dict(license_scan.text_templates()[: -len(license_scan.NOTICES)])
     notices = dict(license_scan.NOTICES)
