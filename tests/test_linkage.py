@@ -174,6 +174,11 @@ def test_audit_finds_faults(spark):
         reports.assert_not_empty(c.toDF("source1_entity_id", "matched_entity_ids"))
 
 
+def test_profile_with_sketches(records):
+    exact, sketch = ({r["src"]: r.asDict() for r in reports.profile_source(records, approximate=a).collect()} for a in (False, True))
+    assert exact == sketch and exact[1]["n_rows"] == 3
+
+
 def test_models_rank_true_pairs_first(spark):
     rows = [(f"S1-{i}", f"S2-{i}-{j}", float(j == 0) + 0.01 * (i % 7), int(j == 0)) for i in range(60) for j in range(4)]
     df = spark.createDataFrame(rows, "a_id string, b_id string, s double, y int")
