@@ -181,7 +181,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     vectors = text_vectors(spark)
     speaks = lambda c: c.rlike(SPEAKS)
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    lines = F.when(speaks(F.col("text")), F.transform(F.filter(F.split("text", "\n"), speaks), F.trim))
+    lines = F.when(speaks(F.col("text")), F.transform(F.filter(F.split("text", "\n"), speaks), lambda x: F.trim(x)))
     slim = with_allowed(base, vectors).withColumn("lines", lines)
     telling = (F.size("lines") > 0) | (F.size("allowed") > 0)
     slim = slim.select(F.monotonically_increasing_id().alias("row"), "id", "path", "lines", "allowed", F.when(telling, F.sha2("text", 256)).alias("digest"), F.when(telling, F.col("text")).alias("text"))
