@@ -58,7 +58,7 @@ def runs_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str] |
     listed = ", ".join(f"'{w}'" for w in vocabulary) or "''"
     kept = F.expr(f"transform(w, x -> if(x in ({listed}), x, '\n'))")
     long_enough = lambda run: (F.length(run) >= 2 * shortest - 1) & (F.size(F.split(run, " ")) >= shortest)
-    runs = F.filter(F.transform(F.split(F.array_join(kept, " "), "\n"), F.trim), long_enough)
+    runs = F.filter(F.transform(F.split(F.array_join(kept, " "), "\n"), lambda x: F.trim(x)), long_enough)
     return cut.select("row", "doc", F.size("w").cast("long").alias("n_words"), runs.alias("runs"))
 
 

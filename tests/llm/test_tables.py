@@ -314,6 +314,7 @@ def test_contamination(spark, monkeypatch, few, short):
     if few:
         monkeypatch.setattr(decontaminate, few, 0)
     items = [(i, words(R.choice([3, 13, 20] if short else [13, 20]))) for i in range(8)] + [(8, None), (9, "...")]
+    items += [(12, " ".join(map(str, range(16)))), (13, " ".join(map(str, range(5, 22)))), (14, "1 2 0 " * 5)]  # digits only
     items += [(10, "École É a"), (11, "k É")] if short else [(10, items[0][1]), (11, "it's " + words(15) + ' \\ "q" ' + words(3))]
     docs = []
     for i in range(30):
@@ -321,6 +322,7 @@ def test_contamination(spark, monkeypatch, few, short):
         for _ in range(R.randint(0, 2)):
             t += "; " + (R.choice(items)[1] or "") + " " + words(5)
         docs.append((i, t))
+    docs += [(60 + k, f"zz9 {k} zz9 " * k + (items[k][1] or "x") + f" zz9 {k}0 zz9 " + " ".join(map(str, range(k, k + 16)))) for k in range(8)]
     docs += [(50, None), (51, ""), (52, "école é A x"), (53, "ÉCOLE É a"), (54, "École É A K É"), (55, "K É"), (56, words(3000))]
     df = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, WIN string")
     tb = spark.createDataFrame(items, "item_id long, text string")
