@@ -74,6 +74,7 @@ def compare(
     """ML2: (kind, feature_set, n_features, threshold, macro_f05) of each model's best threshold on held-out entities,
     and the best model; a tie stays with the earlier one."""
     rows, best = [], None
+    train, held = train.persist(), held.persist()  # every fit reads them again
     for name, columns in (sets or {"all": list(features)}).items():
         for kind in kinds:
             fitted = estimator(kind, columns).fit(train)
@@ -82,6 +83,7 @@ def compare(
             rows.append((kind, name, len(columns), top["threshold"], top["macro_f05"]))
             if best is None or top["macro_f05"] > best.macro_f05:
                 best = Fitted(fitted, kind, name, columns, top["threshold"], top["macro_f05"])
+    train.unpersist(), held.unpersist()
     return train.sparkSession.createDataFrame(rows, "kind string, feature_set string, n_features int, threshold double, macro_f05 double"), best
 
 
