@@ -306,3 +306,10 @@ def test_truth_in_the_index(spark):
     b = spark.createDataFrame([("S2-1",), ("S2-1",), ("S2-7",)], "entity_id string")
     assert [tuple(r) for r in src.indexed_truth(lists, b).collect()] == [("S1-1", "S2-1")]
     assert sorted(map(tuple, src.listed_counts(lists).collect())) == [("S1-1", 2), ("S1-2", 0), ("S1-3", 0)]
+
+
+def test_texts_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", 5)], "doc_id long, text string, lang string, n_chars long")
+    plan = src.documents_as_records(docs)._jdf.queryExecution().optimizedPlan().toString()
+    made = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "split(" not in made  # within the lambda it would run again for each run of the text
