@@ -2,58 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmark.session import ensure_package, spread
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else (only in a
-    single-JVM ``local`` session) a temporary folder, else the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="kinmark-")
-        return f"file://{_LOCAL[app]}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-
-
-#: Spark's own switch: the shuffle files of a command are removed as soon as it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. The
-    shuffles of the write go when it has ended; the folder goes when the application's driver ends (a reader of a
-    lazy result may need it until then)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    _delete_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete_at_end(spark: SparkSession, path: str) -> None:
-    """Hadoop's own registry: the file system deletes the folder when the driver's JVM shuts down."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-
+from kinmark.session import ensure_package, shared_dir, spread, stored  # noqa: F401 (the operators take the last ones from here)
 
 def arrow_limits(spark: SparkSession, mb: int = 16) -> None:
     """Keep one Arrow batch to Python small whatever the length of the texts."""

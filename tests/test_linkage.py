@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kinmark.functions.text import with_forms
 from kinmark.operators import blocking, decisions, models, pairwise, ranking, reports
 from kinmark.operators.blocking import BlockConfig
 from kinmark.operators.decisions import DecisionConfig
@@ -313,3 +314,18 @@ def test_texts_are_split_once(spark):
     plan = src.documents_as_records(docs)._jdf.queryExecution().optimizedPlan().toString()
     made = next(line for line in plan.splitlines() if "Generate" in line)
     assert "split(" not in made  # within the lambda it would run again for each run of the text
+
+
+def test_candidates_in_passes_are_those_of_all_keys(spark, monkeypatch):
+    words = "red blue green gold iron salt wolf moss fern clay".split()
+    rows = [(f"S{1 + i % 3}-{i}", 1 + i % 3, "x" if i % 5 else "y", " ".join(words[(i * k) % 10] for k in (1, 3, 7)) + f" only{i}", f"{words[i % 7]} {words[i % 4]} {i % 6} {i % 9}") for i in range(60)]
+    df = spark.createDataFrame(rows, "entity_id string, src int, country string, business_name string, business_address string")
+    forms = with_forms(df)
+    whole = blocking.with_heads(forms.join(blocking.id_lists(forms, blocking.vocabulary(forms)), ["country", "entity_id"]), blocking.BlockConfig())
+    want = sorted(map(tuple, blocking.candidates(whole.where("src = 1"), whole.where("src > 1"), blocking.BlockConfig()).collect()))
+    monkeypatch.setattr(blocking, "MANY_RECORDS", 1)
+    monkeypatch.setattr(blocking, "COMMON", 3)
+    f = Funnel(df)
+    assert want and sorted(map(tuple, f.candidates.collect())) == want
+    shared, every = (blocking.make_keys(f.prepared, f.cfg, shared=s).count() for s in (True, False))
+    assert shared < every == blocking.make_keys(whole, f.cfg).count()
