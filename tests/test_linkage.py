@@ -329,3 +329,29 @@ def test_candidates_in_passes_are_those_of_all_keys(spark, monkeypatch):
     assert want and sorted(map(tuple, f.candidates.collect())) == want
     shared, every = (blocking.make_keys(f.prepared, f.cfg, shared=s).count() for s in (True, False))
     assert shared < every == blocking.make_keys(whole, f.cfg).count()
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_blocks_that_span_batches_keep_their_cap(spark, monkeypatch, named):
+    """Whole blocks are judged whatever the batches and passes: one of the cap's size, one beyond it, one with many a's;
+    ids that are no numbers too. Intermediate tables of the probe are gone when the candidates are there."""
+    import os
+
+    monkeypatch.setattr(blocking, "MANY_RECORDS", 1)
+    monkeypatch.setattr(blocking, "PASSES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    name = {"low": "amber birch", "cap": "copper dune", "over": "ember fjord"}
+    rows = [(f"S{s}-{x}{'x' * named}", s, "x", name[k], "") for k, s, ids in (("low", 1, range(100, 107)), ("low", 2, [1]), ("cap", 1, [200, 201]), ("cap", 3, range(10, 13)), ("over", 1, [300]), ("over", 2, range(20, 24))) for x in ids]
+    df = spark.createDataFrame(rows, "entity_id string, src int, country string, business_name string, business_address string")
+    cfg = BlockConfig(max_block=3, max_block_by_family={})
+    try:
+        found = Funnel(df, cfg).candidates
+        got = sorted(map(tuple, found.collect()))
+        folders = {f.rsplit("/", 2)[0] for f in found.inputFiles()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = with_forms(df)
+    whole = blocking.with_heads(whole.join(blocking.id_lists(whole, blocking.vocabulary(whole)), ["country", "entity_id"]), cfg)
+    want = sorted(map(tuple, blocking.candidates(whole.where("src = 1"), whole.where("src > 1"), cfg).collect()))
+    assert got == want and len(got) == 7 + 6
+    assert not [x for f in folders for x in os.listdir(f.removeprefix("file://").removeprefix("file:")) if x.startswith("live-") and os.path.isdir(f"{f.removeprefix('file://').removeprefix('file:')}/{x}") and any(y.endswith(".parquet") for y in os.listdir(f"{f.removeprefix('file://').removeprefix('file:')}/{x}"))]
