@@ -123,7 +123,7 @@ for _i, _fam in enumerate(blocking.FAMILIES):
     query(f"block_keys_{_fam.lower()}", sql.after("keys", f"SELECT entity_id, key FROM keys WHERE fam = {_i}"))(lambda s, d, i=_i: _all_keys(s, d).where(F.col("fam") == i).select("entity_id", "key"))
 query("block_sizes", sql.after("keys", "SELECT country, fam, key, count(*) AS n FROM keys WHERE src > 1 GROUP BY ALL"))(lambda s, d: blocking.block_sizes(funnel(s, d).b_keys))
 query("capped_index", sql.after("keys", f"SELECT k.country, k.entity_id, k.fam, k.key FROM keys k JOIN (SELECT country, fam, key, count(*) AS n FROM keys WHERE src > 1 GROUP BY ALL) s USING (country, fam, key) WHERE k.src > 1 AND s.n <= {sql._caps(5)}"))(
-    lambda s, d: blocking.capped_index(funnel(s, d).b_keys, blocking.BlockConfig(max_block=5)).select("country", "entity_id", "fam", "key")
+    lambda s, d: funnel(s, d).index_under(blocking.BlockConfig(max_block=5)).select("country", "entity_id", "fam", "key")
 )
 query("name_block_caps", "SELECT p_name, n FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) WHERE n <= 30")(
     lambda s, d: read(s, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).where("n <= 30")
