@@ -409,3 +409,49 @@ def test_packed_columns_and_rounding():
     assert packed._text_order(np.array([9 << 3 | 2, 10 << 3 | 2, 1 << 3 | 3])).tolist() == [1, 0, 2]
     x = packed.Lists(np.array([4, 8]), np.array([[0, 2], [1, 0], [0, 0]]), np.array([7, 1, 3]))
     assert x.at(np.array([1, 0])).flat.tolist() == [1, 3, 7] and x.places(np.array([8, 5, 4]))[1].tolist() == [1, 0]
+
+
+def _forced_passes(spark, monkeypatch):
+    from kinmark.operators import packed
+
+    for name, value in (("MANY_RECORDS", 1), ("PASSES", 2), ("KEY_PASSES", 2)):
+        monkeypatch.setattr(blocking, name, value)
+    monkeypatch.setattr(packed, "SLOT_RECORDS", 20)
+    return Funnel(spark.createDataFrame(list(_two_sided(90)), "entity_id string, src int, country string, business_name string, business_address string"))
+
+
+def test_true_masks_need_no_table_of_candidates(spark, monkeypatch):
+    f, g = _forced_passes(spark, monkeypatch), _forced_passes(spark, monkeypatch)
+    truth = g.candidates.where("n_keys > 2").select("a_id", "b_id").unionByName(spark.createDataFrame([("S1-0", "none")], "a_id string, b_id string")).persist()
+    got = sorted(map(tuple, f.true_masks(truth).collect()))
+    assert got and got == sorted(map(tuple, blocking.true_masks(g.candidates, truth).collect()))
+    assert "candidates" not in f.__dict__
+    assert blocking.greedy_families(f.true_masks(truth), truth)[-1][1] == truth.count() - 1
+
+
+def test_index_shuffles_blocks_only(spark, monkeypatch):
+    f, cfg = _forced_passes(spark, monkeypatch), BlockConfig(max_block=3, max_block_by_family={"NS": 1})
+    want = blocking.capped_index(f.b_keys, cfg).select("country", "entity_id", "fam", "key").collect()
+    got = f.index_under(cfg).select("country", "entity_id", "fam", "key")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want)
+    assert "hashpartitioning(slot" in plan and "hashpartitioning(country" not in plan
+
+
+def test_texts_are_attached_in_passes(spark, monkeypatch):
+    f = _forced_passes(spark, monkeypatch)
+    views = [f"{p}_{v}" for p in "ab" for v in ("name_core", "addr_norm")]
+    got = f.attached(f.kept.select("a_id", "b_id"), lambda both: both.select("a_id", "b_id", *views))
+    want = pairwise.attach_text(f.kept.select("a_id", "b_id"), f.normed).select("a_id", "b_id", *views)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_errors_of_scored_pairs_by_one_join(spark):
+    ids = "a_id string, b_id string"
+    scored = spark.createDataFrame([("a", "x", 5.0), ("a", "y", 4.5), ("a", "z", 1.0), ("c", "x", 2.0)], f"{ids}, score double")
+    truth = spark.createDataFrame([("a", "x"), ("c", "x"), ("d", "x")], ids)
+    got = reports.errors_at(scored, truth, 4.5)
+    want = reports.error_kinds(scored.where("score >= 4.5"), scored, truth).select("a_id", "b_id", "kind")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
