@@ -122,3 +122,39 @@ def test_feature_block(spark):
         if r["x"] is not None:
             n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
             assert abs(r["nm_prefix"] - (n / max(len(x), len(y)) if x or y else 1)) < 1e-12
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_diagonals_are_the_plain_definitions(monkeypatch):
+    """Distances and windows by diagonals over lanes: of any lengths and alphabets, missing halves, texts past 8 bits."""
+    r = random.Random(6)
+    some = lambda n, of: "".join(r.choices(of, k=n))
+    texts = ["", "a", "\ud800", *(some(n, of) for n in (2, 7, 63, 65, 130) for of in ("ab ", "abcdefgh éअ"))]
+    a, b = zip(*((x, y) for x in texts for y in texts), strict=True)
+    want = [edits(x, y) for x, y in zip(a, b)]
+    assert sim.levenshtein_distances(a, b).tolist() == want
+    wide = ["".join(map(chr, range(0x4E00, 0x4E00 + 300))), some(300, "ab")]
+    assert sim.levenshtein_distances(wide, [wide[0][5:], wide[1] + "c"]).tolist() == [5, 1]
+    assert sim.partial_ratio([wide[0][5:]], [wide[0]]).tolist() == [1.0] and np.isclose(sim.jaro_winkler([wide[0]], [wide[0] + "x"])[0], jaro_winkler(wide[0], wide[0] + "x"))
+    full, best = sim.ratio_and_partial(a, b)
+    assert full.tolist() == sim.ratio(a, b).tolist() and np.allclose(full, [ratio(x, y) for x, y in zip(a, b)])
+    monkeypatch.setattr(sim, "LANES", 3)
+    assert sim.levenshtein_distances(a, b).tolist() == want and sim.partial_ratio(a, b).tolist() == best.tolist()
+
+
+def test_walks_do_not_grow_with_windows():
+    """A window more is no lane more: a pair costs one strand for each place of its texts."""
+    r = random.Random(7)
+    a, b = ["".join(r.choices("ab ", k=60))], ["".join(r.choices("ab ", k=90))]
+    texts = sim.Coded(a, b)
+    one = np.zeros(1, np.int64)
+    assert sim._strands(texts.lanes(0, one), texts.lanes(1, one)).shape == (90, 1)
